@@ -10,9 +10,11 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..cluster import ship
 from .coerce import digits
 
 # -- white space ---------------------------------------------------------------------
@@ -40,21 +42,23 @@ def lines(c: Column) -> Column:
 # -- the two UDFs --------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or "&" not in x else html.unescape(x))
 
 
 def nfc(c: Column) -> Column:
+    ship(SparkSession.active())
     return _nfc(c)
 
 
 def unescape(c: Column) -> Column:
+    ship(SparkSession.active())
     return _unescape(c)
 
 
@@ -216,7 +220,8 @@ def correct(c: Column, modernize: bool = True, whole_words: bool = False) -> Col
 
 def wrap(c: Column, width: int = 100) -> Column:
     """Lines of at most ``width`` characters, broken at spaces; longer words are cut."""
-    return F.rtrim(F.regexp_replace(collapse(F.coalesce(c, F.lit(""))), rf"(.{{1,{width}}})(?: |$)|(.{{{width}}})", "$1$2\n"))
+    broken = F.regexp_replace(collapse(F.coalesce(c, F.lit(""))), rf"(.{{1,{width}}})(?: |$)|(.{{{width}}})", "$1$2\n")
+    return F.btrim(broken, F.lit("\n"))
 
 
 def script_share(c: Column, characters: str = r"\p{IsDevanagari}") -> Column:

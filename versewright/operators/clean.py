@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import canonical_int
 from ..functions.text import clean_text, is_junk, text_score
-from ..schema import KEY
+from ..schema import KEY, one_row
 
 MIN_LENGTH = 20
 LOW_SCORE, SMALL_GAP = 10.0, 5.0
@@ -68,4 +68,4 @@ def clean_stats(rows: DataFrame, min_length: int = MIN_LENGTH, key=KEY, low: flo
     dropped = ready.agg(F.count("*").alias("total_rows"), F.count_if(F.col("fate") != "candidate").alias("dropped_junk"))
     per_key = ranked(candidates(ready, min_length), key).filter("rank = 1")
     kept = per_key.agg(F.count("*").alias("kept"), F.count("*").alias("dedup_groups"), F.count_if(ambiguous(low)).alias("ambiguous_groups"))
-    return dropped.join(F.broadcast(kept)).withColumn("total_input_rows", F.col("total_rows"))
+    return one_row(dropped, kept).withColumn("total_input_rows", F.col("total_rows"))

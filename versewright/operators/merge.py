@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..schema import KEY
+from ..schema import KEY, one_row
 from .parse import keep_first
 
 HYMN = ("mandala", "sukta")
@@ -118,9 +118,7 @@ def merge_summary(merged: DataFrame, translations: DataFrame, fuzzy: bool = Fals
     keys = translations.select(*KEY).distinct().agg(F.count("*").alias("translation_keys"))
     lost = unmatched_keys(merged, translations).agg(F.count("*").alias("unmatched_translation_keys"))
     final = residual_unmatched(merged, translations, fuzzy).agg(F.count("*").alias("final_unmatched_translation_keys"))
-    for one in (keys, lost, final):  # one row each
-        counted = counted.join(F.broadcast(one))
-    return counted
+    return one_row(counted, keys, lost, final)
 
 
 def delta_report(merged: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import digits
 from ..functions.text import SPACE, lines, normalize_text, strip, tidy
-from ..schema import VERSE
+from ..schema import VERSE, one_row
 
 DANDA = "।"
 
@@ -177,4 +177,4 @@ def parse_summary(verses: DataFrame, before: DataFrame | None = None) -> DataFra
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("mandala").cast("string").alias("k"), F.struct("verses", F.round("deity_pct", 2).alias("deity_pct")).alias("v"))))).alias("by_mandala"),
     )
     twice = duplicate_ids(before if before is not None else verses).agg(F.array_sort(F.collect_list("id")).alias("duplicates"))
-    return by.join(F.broadcast(twice))  # one row each
+    return one_row(by, twice)

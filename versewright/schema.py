@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "array<string>": T.ArrayType(T.StringType())}
+
 KEY = ("mandala", "sukta", "verse_index")
 
 
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """'name kind, ...' as a type; parsed here, since Spark's own parser needs a session."""
+    return T.StructType([T.StructField(*pair, True) for pair in ((n, _KINDS[k]) for n, k in (f.split() for f in text.split(",")))])
 
 
 VERSE = _struct(
@@ -39,3 +44,9 @@ def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
                 yield (*path, f.name)
 
     return df.select(*[F.col(".".join(f"`{p}`" for p in path)).alias(separator.join(path)) for path in leaves(df.schema, ())])
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """One-row frames with different columns as one row, without joining them."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])

@@ -47,7 +47,7 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType = VERSE, str
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of the lines of small files that are no JSON object."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("pos", "value"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "value"))
     rows = rows.filter(F.trim("value") != "")
     return rows.filter(F.try_parse_json("value").isNull()).select((F.col("pos") + 1).alias("line_no"), "value")
 
@@ -123,13 +123,13 @@ def raw_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def page_numbers(spark: SparkSession, path: str) -> DataFrame:
     """(key, page_number) of one JSON object that maps 'm-s-v' to page numbers."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,int>")).alias("key", "page_number"))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, text) of whole text files, bad bytes replaced."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_name").alias("source_file"), F.make_valid_utf8("value").alias("text"))
 
 
