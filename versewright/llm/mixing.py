@@ -45,12 +45,11 @@ def source_rates(docs: DataFrame, weights: dict | None = None, total: float | No
         sizes = sizes.join(known, sizes["source"] == known["w_source"], "left")
         weight = F.coalesce("w", F.lit(0.0))
     sizes = sizes.select("source", "size", weight.alias("weight"))
-    sums = sizes.agg(F.sum("size").alias("all"), F.sum("weight").alias("weights"))
-    wanted = F.lit(float(total)) if total is not None else F.col("all").cast("double")
-    # one row, so no cross join of tables
-    rated = sizes.join(F.broadcast(sums))
-    rate = F.when(F.col("size") > 0, F.col("weight") / F.col("weights") * wanted / F.col("size")).otherwise(F.lit(1.0))
-    return rated.select("source", "size", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    sums = sizes.agg(F.sum("size").alias("all"), F.sum("weight").alias("weights")).first()
+    wanted = F.lit(float(total if total is not None else sums["all"] or 0))
+    weights_ = F.lit(float(sums["weights"] or 0))
+    rate = F.when((F.col("size") > 0) & (weights_ > 0), F.col("weight") / F.nullif(weights_, F.lit(0.0)) * wanted / F.nullif(F.col("size"), F.lit(0))).when(F.col("size") > 0, F.lit(0.0)).otherwise(F.lit(1.0))
+    return sizes.select("source", "size", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def poisson_steps(rate):
