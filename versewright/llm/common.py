@@ -25,6 +25,14 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def own(name: str, *frames: DataFrame) -> str:
+    """The name, or a longer one that no column of the frames has."""
+    there = {c.lower() for df in frames for c in df.columns}
+    while name in there:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -122,7 +130,7 @@ def map_texts(
     ship(df.sparkSession)
     new = {name.lower() for name, _, _ in fields}
     kept = [c for c in keep if c.lower() not in new]
-    source = "__text__"
+    source = own("__text__", df)
     rows = df.select(*[col(c) for c in kept], col(text).cast("string").alias(source))
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(n, t, True) for n, t, _ in fields])
     names = kept + [n for n, _, _ in fields]

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, col
+from .common import Scratch, col, own
 
 #: White space stripped from the ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -110,8 +110,8 @@ class LineRuns:
 def lines_to_drop(docs: DataFrame, scratch: Scratch, text: str = "text", min_key: int = MIN_KEY, batches: int = BATCHES) -> DataFrame:
     """(doc_id, version, pos) of all lines that lose against a smaller doc_id."""
     hashes = scratch.save(line_hashes(docs, text, min_key), "lines")
-    edges = hashes.select("doc_id").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.02)
-    edges = sorted({int(e) for e in edges})
+    cuts = [k / batches for k in range(1, batches)]
+    edges = sorted({int(e) for e in hashes.approxQuantile("doc_id", cuts, 0.02)}) if cuts else []
     store, drops = LineRuns(scratch), []
     for low, high in zip([None, *edges], [*edges, None]):
         batch = hashes
@@ -132,21 +132,22 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, text: str = "text", min_key:
     """
     drops = lines_to_drop(docs, scratch, text, min_key, batches)
     lists = drops.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("pos"))
-    ours = lists.select(F.col("doc_id").alias("__id__"), F.col("version").alias("__version__"), F.col("pos").alias("__pos__"))
+    i, v, p, ls, n = (own(name, docs) for name in ("__id__", "__version__", "__pos__", "__lines__", "__n__"))
+    ours = lists.select(F.col("doc_id").alias(i), F.col("version").alias(v), F.col("pos").alias(p))
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     rows = docs.select(*[col(c) for c in keep])
     version = F.xxhash64(F.coalesce(col(text).cast("string"), F.lit("")))
-    joined = rows.join(ours, (col("doc_id") == F.col("__id__")) & (version == F.col("__version__")), "left")
-    cut = joined.withColumn("__lines__", _lines(joined, text)).withColumn("__n__", F.size("__lines__"))
+    joined = rows.join(ours, (col("doc_id") == F.col(i)) & (version == F.col(v)), "left")
+    cut = joined.withColumn(ls, _lines(joined, text)).withColumn(n, F.size(ls))
     # array_except works by hashing, so a document of many lines and drops stays linear
-    left = F.array_except(F.sequence(F.lit(0), F.col("__n__") - 1), F.col("__pos__"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__lines__"), i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.col(n) - 1), F.col(p))
+    kept = F.array_join(F.transform(left, lambda at: F.get(F.col(ls), at)), "\n")
     whole = F.coalesce(col(text).cast("string"), F.lit(""))
-    new = F.when(F.col("__pos__").isNull(), whole).otherwise(kept)
+    new = F.when(F.col(p).isNull(), whole).otherwise(kept)
     return cut.select(
         *[new.alias(c) if c == text else col(c) for c in keep],
-        F.col("__n__").cast("long").alias("n_lines"),
-        F.coalesce(F.size("__pos__"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.col(n).cast("long").alias("n_lines"),
+        F.coalesce(F.size(p), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

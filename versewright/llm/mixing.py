@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, own
 
 #: Weights are the sources' sizes to this power, each size a source's characters.
 TEMPERATURE = 0.5
@@ -78,17 +78,17 @@ def mix(docs: DataFrame, weights: dict | None = None, total: float | None = None
     """
     spark = docs.sparkSession
     rates = source_rates(docs, weights, total, source, text)
-    steps = rates.select(F.col("source").alias("__source__"), poisson_steps(F.col("rate")).alias("__steps__"))
+    s, cdf, u, n = (own(name, docs) for name in ("__source__", "__steps__", "__u__", "__n__"))
+    steps = rates.select(F.col("source").alias(s), poisson_steps(F.col("rate")).alias(cdf))
     if rates.select("source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         steps = F.broadcast(steps)
     keep = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
     rows = docs.select(*[col(c) for c in keep])
     ident = F.coalesce(col(key).cast("string"), F.lit(""))
-    joined = rows.join(steps, col(source).eqNullSafe(F.col("__source__")))
-    u = uniform(ident, seed)
-    # the count of steps at or below u, by binary search in the sorted array
-    counted = joined.withColumn("__u__", u).withColumn("__n__", F.size(F.filter("__steps__", lambda s: s <= F.col("__u__"))))
-    out = counted.filter("__n__ > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n__") - 1)))
+    joined = rows.join(steps, col(source).eqNullSafe(F.col(s)))
+    # the inverse of the distribution: how many of its steps lie at or below the uniform number
+    counted = joined.withColumn(u, uniform(ident, seed)).withColumn(n, F.size(F.filter(cdf, lambda x: x <= F.col(u))))
+    out = counted.filter(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     order = F.md5(F.concat(F.lit(f"{seed}/"), ident, F.lit("/"), F.col("copy").cast("string")).cast("binary"))
     out = out.select(*[col(c) for c in keep], "copy", order.alias("shuffle_key"))
     # hashing the random key deals rows to partitions at random; sorting by it orders each at random

@@ -216,6 +216,9 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "emb
         if xs.num_rows and qs.num_rows:
             x, vid = _matrix(xs["v"].combine_chunks()), xs["vec_id"].to_numpy()
             cells = xs["cell"].to_numpy()
+            if len(np.unique(vid)) < len(vid):  # repeated rows share cell and block
+                once = np.unique(np.column_stack([vid.view(np.float64), x]), axis=0, return_index=True)[1]
+                x, vid, cells = x[once], vid[once], cells[once]
             for at in range(0, qs.num_rows, 256):
                 some = qs.slice(at, 256)
                 q = _matrix(some["q"].combine_chunks())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, col, map_texts, ship
+from .common import Scratch, col, map_texts, own, ship
 
 SHINGLE = 4
 SEED = 42
@@ -261,7 +261,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.select(col("doc_id"), col("text"), version.alias("version"))
     found = near_duplicates(rows, scratch, ("doc_id", "version"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("m")
-    chosen = found.groupBy("root").agg(first).select(F.col("m.doc_id").alias("__id__"), F.col("m.version").alias("__version__"))
+    i, v = own("__id__", docs), own("__version__", docs)
+    chosen = found.groupBy("root").agg(first).select(F.col("m.doc_id").alias(i), F.col("m.version").alias(v))
     chosen = scratch.save(chosen.distinct(), "chosen")
-    kept = docs.join(chosen, col("doc_id").eqNullSafe(F.col("__id__")) & (version == F.col("__version__")))
-    return kept.dropDuplicates(["__id__", "__version__"]).select(*[col(c) for c in docs.columns])
+    kept = docs.join(chosen, col("doc_id").eqNullSafe(F.col(i)) & (version == F.col(v)))
+    return kept.dropDuplicates([i, v]).select(*[col(c) for c in docs.columns])
