@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import language, licenses, line_dedup, mixing, nearest, pieces, quality_model, quality_rules, simhash, token_counts
 from .common import table, tokenizer_path
-from .sql import OP2_SQL
+from .sql import OP2_SQL, OP7_SQL
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op9_source_mixing": mixing.OP9_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op7_quality_rules": OP7_SQL, "op9_source_mixing": mixing.OP9_SQL}
