@@ -229,8 +229,8 @@ def test_simhash(which, request):
     assert bag(simhash.op5(df).collect()) == bag(near_brute(made))
 
 
-@pytest.mark.parametrize("dense", [4, 512])
-def test_links_of_planted_fingerprints(spark, monkeypatch, dense):
+@pytest.mark.parametrize(("dense", "equal"), [(4, 2), (512, 2), (512, 3)])
+def test_links_of_planted_fingerprints(spark, dense, equal):
     """Chains, dense balls and far points: components as by all pairs."""
     rng = random.Random(dense)
     points = {rng.getrandbits(64) for _ in range(300)}
@@ -245,10 +245,7 @@ def test_links_of_planted_fingerprints(spark, monkeypatch, dense):
     points |= {0, 1, (1 << 64) - 1, 1 << 63, 0x1F, 0x3F}
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     df = spark.createDataFrame([(signed(p),) for p in points], "fp bigint").repartition(5)
-    import versewright.llm.simhash as module
-
-    monkeypatch.setattr(module, "DENSE", dense)
-    got = {r.node: r.root for r in simhash.components(simhash.link_forest(df), Scratch(spark, "test")).collect()}
+    got = {r.node: r.root for r in simhash.components(simhash.link_forest(df, equal=equal, dense=dense), Scratch(spark, "test")).collect()}
     want = components_brute(points)
     classes = lambda of: {frozenset(g) for g in _groups(of).values() if len(g) > 1}
     assert classes(got) == classes({signed(a): signed(b) for a, b in want.items()})
