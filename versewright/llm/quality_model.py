@@ -105,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Logistic:
     marks = marks.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # MAX_TRAINING rows or so
     made = map_texts(rows, lambda: lambda texts: [[measures(t) for t in texts]], [("x", T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))], ["doc_id", "y"])
-    got = made.orderBy("doc_id").select("x", "y").toPandas()
+    # sorted here: to sort in Spark would scan the documents twice, once for the ranges
+    got = made.toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), N_MEASURES)
     return Logistic.fit(x, got["y"].to_numpy(dtype=np.float64))
 
