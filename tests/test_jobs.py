@@ -8,11 +8,11 @@ from versewright.sources import readers
 
 
 def test_parse_merge_browse(spark, tmp_path):
-    pages = [{"mandala": 1, "sukta": 1, "text": ["1 Kanva । ९ । गायत्री", "", "", "क । ख ॥१॥ ग ॥२॥"]}, {"mandala": 1, "sukta": 2, "text": "x\ny\nz\nघ ॥1॥"}]
+    pages = [{"mandala": 1, "sukta": 1, "text": ["1 Kanva । ९ । गायत्री", "", "", "क । ख ॥१॥ ग ॥२॥"]}, {"mandala": 1, "sukta": 2, "text": "x\ny\nz\nघ ॥1॥"}, {"mandala": 1, "sukta": 2, "text": "x\ny\nz\nङ ॥1॥"}]
     (tmp_path / "pages_1.json").write_text(json.dumps(pages))
     main(["parse", "--input", str(tmp_path / "pages_*.json"), "--output", str(tmp_path / "verses")], spark)
     summary = spark.read.json(str(tmp_path / "verses_summary")).first()
-    assert summary.total_records == 3 and summary.by_mandala["1"].verses == 3
+    assert summary.total_records == 3 and summary.by_mandala["1"].verses == 3 and summary.duplicates == ["RV-01-002-01"]
     (tmp_path / "map.csv").write_text('mandala,sukta,verse_index,translation_text\n1,1,1,first\n1,2,9,late\n')
     main(["merge", "--dataset", str(tmp_path / "verses"), "--translations", str(tmp_path / "map.csv"), "--output", str(tmp_path / "merged"), "--fuzzy", "--report", str(tmp_path / "report")], spark)
     merged = {r.id: r for r in readers.json_lines(spark, str(tmp_path / "merged")).collect()}

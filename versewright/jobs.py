@@ -14,9 +14,10 @@ from .sources import readers, sinks
 def parse_job(spark: SparkSession, pages: str, output: str, page_helper: str | None = None, max_suktas: int | None = None) -> DataFrame:
     """Files of raw pages to verses (JSON lines) and <output>_summary."""
     numbers = readers.page_numbers(spark, page_helper) if page_helper else None
-    verses = parse.parse_pages(readers.raw_pages(spark, pages), numbers, max_suktas)
+    stanzas = parse.explode_pages(readers.raw_pages(spark, pages), max_suktas)
+    verses = parse.unique_verses(stanzas, numbers)
     sinks.json_lines(verses, output)
-    summary = parse.parse_summary(verses).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"), F.lit(pages).alias("input_pattern"), "*")
+    summary = parse.parse_summary(verses, stanzas).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"), F.lit(pages).alias("input_pattern"), "*")
     sinks.summary_json(summary, f"{output}_summary")
     return verses
 

@@ -125,13 +125,11 @@ def keep_first(df: DataFrame, key, order, how_many: int = 1) -> DataFrame:
     return df.withColumn("__rank__", F.row_number().over(w)).filter(F.col("__rank__") <= how_many).drop("__rank__")
 
 
-def parse_pages(pages: DataFrame, page_numbers: DataFrame | None = None, max_suktas: int | None = None, keep: str = "first", header_lines: int | None = None) -> DataFrame:
-    """Verse records of raw pages (mandala, sukta, text, source_file, pos).
+def explode_pages(pages: DataFrame, max_suktas: int | None = None, header_lines: int | None = None) -> DataFrame:
+    """A record for each stanza of raw pages (mandala, sukta, text, source_file, pos), with
+    pos and stanza for the order; ids may repeat.
 
-    max_suktas: pages of later hymns are skipped before they are parsed (0 or None: no
-    limit).  Of several stanzas with one id the first in (source_file, pos, stanza) order
-    stays, or with keep="longest" the longest, the first of equal ones.
-    page_numbers: rows (key 'm-s-v', page_number).
+    max_suktas: pages of later hymns are skipped before they are parsed (0 or None: no limit).
     """
     if max_suktas:
         pages = pages.filter(F.col("sukta") <= max_suktas)
@@ -140,15 +138,25 @@ def parse_pages(pages: DataFrame, page_numbers: DataFrame | None = None, max_suk
     rows = text.select("mandala", "sukta", "source_file", "pos", *[c.alias(n) for n, c in fields.items()])
     rows = rows.select("*", F.posexplode(stanzas(F.col("body"), F.col("metre"))).alias("stanza", "st"))
     m, s, v = F.col("mandala"), F.col("sukta"), F.col("st.num")
-    made = rows.select(
+    return rows.select(
         verse_id(m, s, v).alias("id"), m.alias("mandala"), s.alias("sukta"), v.alias("verse_index"), dotted_id(m, s, v).alias("verse_id"),
         "deity", "rishi", F.col("st.sanskrit").alias("sanskrit"), F.lit(None).cast("string").alias("transliteration"), F.lit(None).cast("string").alias("translation"),
         "metre", F.col("st.padas").alias("padas"), "source_file", missing_notes(F.col("deity"), F.col("rishi"), F.col("metre")).alias("notes"), "pos", "stanza",
     )
+
+
+def unique_verses(exploded: DataFrame, page_numbers: DataFrame | None = None, keep: str = "first") -> DataFrame:
+    """One record for each id: the first in (source_file, pos, stanza) order, or with
+    keep="longest" the longest text, the first of equal ones.  page_numbers: rows
+    (key 'm-s-v', page_number)."""
     order = [F.col("source_file"), F.col("pos"), F.col("stanza")]
-    made = keep_first(made, ["id"], [F.desc(F.char_length("sanskrit")), *order] if keep == "longest" else order)
-    made = with_page_numbers(made, page_numbers)
-    return made.select(*[f.name for f in VERSE])
+    made = keep_first(exploded, ["id"], [F.desc(F.char_length("sanskrit")), *order] if keep == "longest" else order)
+    return with_page_numbers(made, page_numbers).select(*[f.name for f in VERSE])
+
+
+def parse_pages(pages: DataFrame, page_numbers: DataFrame | None = None, max_suktas: int | None = None, keep: str = "first", header_lines: int | None = None) -> DataFrame:
+    """Verse records of raw pages."""
+    return unique_verses(explode_pages(pages, max_suktas, header_lines), page_numbers, keep)
 
 
 def with_page_numbers(verses: DataFrame, page_numbers: DataFrame | None) -> DataFrame:
@@ -171,7 +179,8 @@ def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
 
 
 def parse_summary(verses: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """One row: total_records, by_mandala (map) and the ids met more than once (sorted)."""
+    """One row: total_records, by_mandala (map) and the ids met more than once (sorted) in
+    ``before``, the stanzas that the verses were chosen from."""
     by = coverage(verses).agg(
         F.sum("verses").alias("total_records"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("mandala").cast("string").alias("k"), F.struct("verses", F.round("deity_pct", 2).alias("deity_pct")).alias("v"))))).alias("by_mandala"),
