@@ -1,7 +1,9 @@
 """Each operator against a brute-force version, over odd rows and the small tables."""
 
 import hashlib
+import itertools
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -398,6 +400,52 @@ def test_license_gates_lose_nothing(docs):
         assert {(d.label, d.first) for d in licenses.detect(words, hits)} == {(d.label, d.first) for d in licenses.detect(words, every)}
 
 
+def license_samples(parsed):
+    """Texts of every alternative of a parsed pattern; repeats up to two, of a range its ends."""
+    out = [b""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                made = [bytes([arg])]
+            case "IN":
+                made = [bytes([x]) for kind, a in arg for x in ([a] if str(kind) == "LITERAL" else a)]
+            case "BRANCH":
+                made = [x for branch in arg[1] for x in license_samples(branch)]
+            case "SUBPATTERN":
+                made = license_samples(arg[3])
+            case "MAX_REPEAT":
+                least, most, of = arg
+                each = license_samples(of)
+                made = [b"".join(x) for n in range(least, max(least, min(int(most), 2)) + 1) for x in itertools.product(each, repeat=n)]
+            case "ASSERT_NOT":
+                made = [b""]
+        out = [a + b for a in out for b in dict.fromkeys(made)]
+    return out
+
+
+def test_license_gates_hold_in_every_alternative():
+    every = set(licenses._gates()[0])
+    rng = random.Random(0)
+    for rule in licenses.rules():
+        samples = license_samples(re._parser.parse(rule.pattern.pattern))
+        assert all(rule.pattern.fullmatch(s) for s in samples)
+        assert [s for s in samples if not set(rule.keywords).intersection(s.split(b" "))] == [], rule.label
+        for s in rng.sample(samples, min(20, len(samples))):
+            words = [b"some", *s.split(b" "), b"text"]
+            assert licenses.detect(words, every.intersection(words)) == licenses.detect(words, every) != []
+
+
+def test_license_names_without_their_short_form():
+    labels = lambda t: licenses.scan(t)[5].split(",")
+    for text, label in (
+        ("Berkeley Software Distribution", "bsd"), ("the Open Font License", "ofl"), ("Open Font License 1.1", "ofl-1.1"), ("Q Public License", "qpl"),
+        ("Computational Use of Data Agreement", "data-c-uda"), ("Community Data License Agreement - Sharing", "cdla-sharing"), ("Licence Ouverte", "etalab"),
+        ("trade secrets of", "trade-secret"), ("must not be republished", "no-redistribution"), ("in no event shall", "liability"), ("GPLed license", "gpl"),
+        ("Open Software License 3.0", "osl-3.0"), ("Business Source License 1.1", "busl-1.1"), ("MPLv2.0", "mpl-2.0"), ("LGPL2.1 only", "lgpl-2.1-only"),
+    ):
+        assert label in labels(text) and licenses.scan(text)[6] > 0
+
+
 def test_suppression():
     d = licenses.Detection
     a, b, c = d("whole", 0, 9, 50, 1.0), d("inside", 2, 4, 50, 1.0), d("across", 8, 12, 20, 1.0)

@@ -2,7 +2,7 @@
 
 Texts become sequences of lower-case words.  Hundreds of hand-written regexes over the
 words, each gated by keywords (a rule is only tried on a text that has one of its
-keywords as a word), detect license names and notices.  Rules have a priority;
+keywords as a word, and whatever it matches holds one), detect license names and notices.  Rules have a priority;
 a detection that lies inside one of a higher priority (or of the same priority, found
 first or longer) is suppressed.
 """
@@ -51,7 +51,7 @@ mit | mit | licensed under (?:the )?mit
 mit | expat | expat licen[sc]e
 isc | isc | isc licen[sc]e
 bsd | bsd | bsd (?:style )?licen[sc]e
-bsd | bsd | berkeley software distribution
+bsd | berkeley | berkeley software distribution
 bsd-2-clause | bsd freebsd simplified | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?
 bsd-3-clause | bsd | (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)(?: licen[sc]e)?
 bsd-4-clause | bsd | (?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd|old bsd)(?: licen[sc]e)?
@@ -59,7 +59,7 @@ bsd-4-clause | bsd | (?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd|o
 bsd-source-code | bsd | bsd source code attribution
 bsd-patent | bsd | bsd (?:2 clause )?plus patent(?: licen[sc]e)?
 gpl | gnu | gnu (?:general public licen[sc]e|gpl)
-gpl | gpl | gpl(?:ed)? licen[sc]e
+gpl | gpl gpled | gpl(?:ed)? licen[sc]e
 gpl | gpl | (?:under|of) the gpl
 lgpl | lesser library lgpl | (?:gnu )?(?:lesser|library) general public licen[sc]e
 lgpl | lgpl | (?:gnu )?lgpl(?: licen[sc]e)?
@@ -84,7 +84,7 @@ boost | boost | boost software licen[sc]e
 unlicense | unlicense | (?:the )?unlicense
 wtfpl | wtfpl want | (?:wtfpl|do what the [a-z]+ you want to public licen[sc]e)
 eupl | eupl european | (?:european union public licen[sc]e|eupl)
-ofl | sil ofl | (?:sil )?(?:open font licen[sc]e|ofl)
+ofl | ofl font | (?:sil )?(?:open font licen[sc]e|ofl)
 ubuntu-font | ubuntu | ubuntu font licen[sc]e
 odbl | odbl database | (?:open (?:data commons )?(?:open )?database licen[sc]e|odbl)
 odc-by | odc commons | (?:odc by|open data commons attribution licen[sc]e)
@@ -110,7 +110,7 @@ oracle-upl | upl universal | (?:universal permissive licen[sc]e|upl)
 oracle-bcl | binary oracle | oracle binary code licen[sc]e
 sun-public | sun | sun public licen[sc]e
 sun-industry | sun sissl | (?:sun industry standards source licen[sc]e|sissl)
-qpl | qpl | (?:q public licen[sc]e|qpl)
+qpl | q qpl | (?:q public licen[sc]e|qpl)
 intel | intel | intel open source licen[sc]e
 nokia | nokia | nokia open source licen[sc]e
 apple-public | apple apsl | (?:apple public source licen[sc]e|apsl)
@@ -165,10 +165,10 @@ vim | vim | vim licen[sc]e
 llama | llama | llama (?:[0-9]+ )?(?:[0-9]+ )?community licen[sc]e
 openrail | openrail rail | (?:creativeml )?open ?rail(?: (?:m|s|d))?(?: licen[sc]e)?
 gemma | gemma | gemma terms of use
-data-c-uda | uda | computational use of data agreement
-cdla-permissive | cdla | (?:community data licen[sc]e agreement|cdla) permissive
-cdla-sharing | cdla | (?:community data licen[sc]e agreement|cdla) sharing
-etalab | etalab | (?:licence ouverte|etalab)(?: open licen[sc]e)?
+data-c-uda | computational | computational use of data agreement
+cdla-permissive | cdla community | (?:community data licen[sc]e agreement|cdla) permissive
+cdla-sharing | cdla community | (?:community data licen[sc]e agreement|cdla) sharing
+etalab | etalab ouverte | (?:licence ouverte|etalab)(?: open licen[sc]e)?
 dl-de | datenlizenz | datenlizenz deutschland(?: namensnennung| zero)?
 kopimi | kopimi | kopimi
 creative-commons | creative | creative commons(?: public)?(?: licen[sc]es?)?
@@ -187,7 +187,7 @@ hope-useful | hope | distributed in the hope that it will be useful
 warranty-none | warranty | without any warranty
 warranty-as-is | warranty as | provided as is(?: without warranty)?
 warranty-merchant | merchantability | implied warrant(?:y|ies) of merchantability
-liability | liable | in no event shall
+liability | event | in no event shall
 origin-zlib | misrepresented | the origin of this software must not be misrepresented
 you-may-obtain | obtain | you may obtain a copy of the licen[sc]e
 may-not-use | compliance | may not use this (?:file|work) except in compliance
@@ -209,9 +209,9 @@ rights-droits | droits | tous droits r\xe9serv\xe9s
 rights-alle | rechte | alle rechte vorbehalten
 rights-todos | derechos | todos los derechos reservados
 proprietary | proprietary confidential | proprietary and confidential
-trade-secret | secret | trade secrets? of
+trade-secret | secret secrets | trade secrets? of
 noncommercial | noncommercial commercial | (?:non ?commercial|not for commercial) (?:use|purposes)(?: only)?
-no-redistribution | redistribute reproduced | (?:may|must) not be (?:reproduced|redistributed|republished)
+no-redistribution | reproduced redistributed republished | (?:may|must) not be (?:reproduced|redistributed|republished)
 royalty-free | royalty | (?:perpetual |worldwide |irrevocable )*royalty free (?:copyright )?licen[sc]e
 attribution-required | attribution | attribution (?:is )?required
 fair-use | fair | fair use(?: doctrine)?
@@ -231,9 +231,9 @@ _VERSIONED = {
     "eupl": ("eupl", r"eupl", ("1 0", "1 1", "1 2")),
     "artistic": ("artistic", r"artistic licen[sc]e", ("1 0", "2 0")),
     "boost": ("boost bsl", r"(?:boost software licen[sc]e|bsl)", ("1 0",)),
-    "ofl": ("ofl sil", r"(?:sil )?(?:open font licen[sc]e|ofl)", ("1 0", "1 1")),
+    "ofl": ("ofl font", r"(?:sil )?(?:open font licen[sc]e|ofl)", ("1 0", "1 1")),
     "afl": ("afl academic", r"(?:academic free licen[sc]e|afl)", ("1 1", "1 2", "2 0", "2 1", "3 0")),
-    "osl": ("osl", r"(?:open software licen[sc]e|osl)", ("1 0", "1 1", "2 0", "2 1", "3 0")),
+    "osl": ("osl software", r"(?:open software licen[sc]e|osl)", ("1 0", "1 1", "2 0", "2 1", "3 0")),
     "php": ("php", r"php licen[sc]e", ("3 0", "3 01")),
     "zpl": ("zope zpl", r"(?:zope public licen[sc]e|zpl)", ("1 1", "2 0", "2 1")),
     "python": ("python psf", r"(?:python|psf) licen[sc]e", ("2 0",)),
@@ -242,7 +242,7 @@ _VERSIONED = {
     "gfdl": ("gfdl gnu", r"(?:gnu free documentation licen[sc]e|gfdl)", ("1 1", "1 2", "1 3")),
     "ogl-uk": ("ogl government", r"(?:open government licen[sc]e|ogl)", ("1 0", "2 0", "3 0")),
     "odbl": ("odbl", r"odbl", ("1 0",)),
-    "busl": ("busl bsl", r"(?:business source licen[sc]e|busl)", ("1 0", "1 1")),
+    "busl": ("busl business", r"(?:business source licen[sc]e|busl)", ("1 0", "1 1")),
     "elastic": ("elastic", r"elastic licen[sc]e", ("1 0", "2 0")),
 }
 _GNU = {
@@ -253,6 +253,12 @@ _GNU = {
 _V = r"(?: as published by the free software foundation)?(?: either)? ?(?:version |v )?"
 
 
+def _joined(keywords: str, version: str) -> str:
+    """keywords, and the words that they form with a version that no space parts from them."""
+    first = version.split()[0]
+    return " ".join(k + tail for k in keywords.split() for tail in ("", "v", "version", first, f"v{first}"))
+
+
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """All rules, the highest priority first; equal ones in the order of the tables."""
@@ -272,15 +278,15 @@ def rules() -> tuple[Rule, ...]:
             out.append(_rule(named, "cc creative", rf"(?:cc {parts}|creative commons {long}) (?:licen[sc]e )?(?:version )?{version}(?: international| unported| generic)?(?: licen[sc]e)?", weight + 20, 1.0))
     for family, (keywords, name, versions) in _VERSIONED.items():
         for version in versions:
-            out.append(_rule(f"{family}-{version.replace(' ', '.')}", keywords, rf"{name} ?(?:version |v ?)?{version}", 80, 1.0))
+            out.append(_rule(f"{family}-{version.replace(' ', '.')}", _joined(keywords, version), rf"{name} ?(?:version |v ?)?{version}", 80, 1.0))
     for family, (keywords, name, versions) in _GNU.items():
         for version in versions:
             dotted = version.replace(" ", ".")
             number = version if " " in version else rf"{version}(?: 0)?"
-            weight = 80 + len(family)
-            out.append(_rule(f"{family}-{dotted}-or-later", keywords, rf"{name}{_V}{number} (?:or (?:at your option )?(?:any )?later(?: version)?)", weight + 10, 1.0))
-            out.append(_rule(f"{family}-{dotted}-only", keywords, rf"{name}{_V}{number} only", weight + 10, 1.0))
-            out.append(_rule(f"{family}-{dotted}", keywords, rf"{name}{_V}{number}", weight, 1.0))
+            weight, words = 80 + len(family), _joined(keywords, version)
+            out.append(_rule(f"{family}-{dotted}-or-later", words, rf"{name}{_V}{number} (?:or (?:at your option )?(?:any )?later(?: version)?)", weight + 10, 1.0))
+            out.append(_rule(f"{family}-{dotted}-only", words, rf"{name}{_V}{number} only", weight + 10, 1.0))
+            out.append(_rule(f"{family}-{dotted}", words, rf"{name}{_V}{number}", weight, 1.0))
             out.append(_rule(f"{family}-{dotted}", f"{family}v{version.split()[0]}", rf"{family}v{number}", weight, 1.0))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
