@@ -176,6 +176,15 @@ def test_line_runs_are_compacted(spark):
     assert store.levels[2][0].count() == 5
 
 
+@pytest.mark.parametrize("query", [line_dedup.op2, line_dedup.deduped_documents])
+def test_line_dedup_of_a_table_compacts(docs, monkeypatch, query):
+    stores, init = [], line_dedup.LineRuns.__init__
+    monkeypatch.setattr(line_dedup.LineRuns, "__init__", lambda self, *a, **b: (init(self, *a, **b), stores.append(self))[0])
+    query(docs[1])
+    (store,) = stores
+    assert len(store.levels) > 1 and all(len(level) > 0 for level in store.levels)
+
+
 def test_line_dedup_of_an_empty_table(empty):
     assert line_dedup.op2(empty).collect() == []
     assert line_dedup.deduped_documents(empty).columns == empty.columns

@@ -30,8 +30,9 @@ from .common import Scratch, col, own
 BLANK = " \t\n\x0b\x0c\r"
 MIN_KEY = 10
 FANOUT = 4
-#: Batches that ``dedup_lines`` cuts a whole table into, by ranges of doc_id.
-BATCHES = 3
+#: Batches that ``dedup_lines`` cuts a whole table into, by ranges of doc_id: more than
+#: FANOUT, so the runs are compacted and the last batch meets those of two levels.
+BATCHES = FANOUT + 2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
