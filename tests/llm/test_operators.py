@@ -490,6 +490,29 @@ def test_language_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in language.op10(unlabelled).collect()} == {"und"}
 
 
+def test_language_rare_among_many(spark):
+    """Of 40,001 labelled documents one is of another language: it is learned and predicted."""
+    common = spark.range(40_000).selectExpr("id as doc_id", "concat('the words of a plain text ', id) as text", "'en' as lang")
+    for rare in (40_001, 40_002, 40_003):
+        one = spark.createDataFrame([(rare, "ψηφία και γράμματα", "el")], "doc_id bigint, text string, lang string")
+        model = language.fit(common.unionByName(one))
+        assert model.langs == ["el", "en"]
+        assert model.predict(["γράμματα", "plain words"])[0] == ["el", "en"]
+
+
+def test_language_counts_of_many_languages(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    monkeypatch.setattr(language, "HELD_LANGS", 2)
+    made = [(f"l{i % 5}", f"text number {i} of several") for i in range(40)]
+    got, want = Counter(), Counter()
+    for batch in language._count([pa.RecordBatch.from_pylist([{"lang": a, "text": t} for a, t in made])]):
+        for row in batch.to_pylist():
+            got[row["lang"], row["bucket"]] += row["n"]
+    for a, t in made:
+        want.update((a, int(x)) for h in language._hash(language._codes(t)) for x in h)
+    assert got == want
+
+
 def test_language_blocks_add_up(monkeypatch):
     rng = np.random.default_rng(0)
     model = language.Model(["a", "b"], rng.normal(size=(language.BUCKETS, 2)).astype(np.float32), np.zeros(2))

@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The matrix of log-probabilities (languages x buckets) is learned from a bounded
-sample of labelled documents, broadcast, and applied to batches of texts in numpy:
+The matrix of log-probabilities (languages x buckets) is learned from all labelled
+documents, whose n-grams are counted where they lie, broadcast, and applied to batches of texts in numpy:
 the n-grams of a whole batch are hashed at once, their rows of the matrix gathered
 and summed document by document.
 """
@@ -20,8 +20,8 @@ from .common import col, map_texts, ship, slices
 
 BITS = 15
 BUCKETS = 1 << BITS
-#: Expected number of labelled documents that the model is fitted on, at most.
-MAX_TRAINING = 20_000
+#: A task that has counted so many languages gives its counts away and starts anew.
+HELD_LANGS = 128
 SMOOTHING = 0.5
 #: Code points scored at once; longer texts are added up in pieces of this length.
 BLOCK = 1 << 18
@@ -51,16 +51,25 @@ def _hash(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def _count(batches):
-    """Rows (lang, bucket, n): what the task's documents add to the counts."""
+    """Rows (lang, bucket, n): what the task's documents add to the counts.  A task of
+    very many languages may give several rows for one bucket."""
     total: dict = {}
     for whole in batches:
         for part in slices(whole, "text"):
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                into = total.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
+                if lang not in total:
+                    if len(total) >= HELD_LANGS:
+                        yield from _given(total)
+                        total.clear()
+                    total[lang] = np.zeros(BUCKETS, dtype=np.int64)
+                into = total[lang]
                 codes = _codes(text)
                 for at in range(0, len(codes), BLOCK):
-                    for h in _hash(codes[at : at + BLOCK + 2]):
-                        into += np.bincount(h, minlength=BUCKETS)
+                    into += np.bincount(np.concatenate(_hash(codes[at : at + BLOCK + 2])), minlength=BUCKETS)
+    yield from _given(total)
+
+
+def _given(total: dict):
     for lang, counts in total.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -97,18 +106,13 @@ class Model:
         return labels, scores
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """The model of the labelled documents: all of them up to MAX_TRAINING, beyond that
-    those whose key's hash falls into the share that gives so many.  What reaches the
-    driver is a row for each language and bucket."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """The model of all labelled documents, so a rare language among very many documents
+    is learned too.  What reaches the driver is a row for each language and bucket."""
     ship(docs.sparkSession)
-    rows = docs.select(col(text).cast("string").alias("text"), col(lang).cast("string").alias("lang"), col(key).cast("string").alias("key"))
+    rows = docs.select(col(text).cast("string").alias("text"), col(lang).cast("string").alias("lang"))
     rows = rows.filter("lang is not null and text is not null and text <> ''")
-    there = rows.select("lang").count()
-    if there > MAX_TRAINING:
-        share = int(MAX_TRAINING / there * (1 << 32))
-        rows = rows.filter(F.expr("(xxhash64(coalesce(key, ''), 'sample') & 4294967295L)") < F.lit(share))
-    made = rows.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n bigint")
+    made = rows.mapInArrow(_count, "lang string, bucket int, n bigint")
     counted = made.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique().tolist())
     counts = np.zeros((BUCKETS, len(langs)))
