@@ -610,14 +610,14 @@ def test_classifier_odd_rows(spark, odd, empty):
 # -- nearest neighbours --------------------------------------------------------------
 
 
-def nearest_brute(made, k=5):
+def nearest_brute(made, k=5, every=50):
     fine = {(i, tuple(v)) for i, v in made if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     fine = sorted(fine)
     x = np.array([v for _, v in fine], dtype=np.float64)
     n = np.sqrt((x * x).sum(axis=1))
     out = {}
     for at, (i, _) in enumerate(fine):
-        if i % 50 == 0:
+        if i % every == 0:
             s = (x * x[at]).sum(axis=1) / (n * n[at])
             out[i] = sorted([(-s[j], fine[j][0]) for j in range(len(fine)) if fine[j][0] != i])[:k]
     return out
@@ -638,6 +638,52 @@ def test_nearest_recall(spark):
     assert hits / (5 * len(want)) >= 0.9
 
 
+def test_nearest_recall_and_candidates_of_clusters(spark):
+    """With clusters a small share of the rows holds the neighbours; n_visited is what a query reads."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    made = [(i, (centres[i % 40] + 0.3 * rng.normal(size=16)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(made, "vec_id bigint, embedding array<double>")
+    want = nearest_brute(made)
+    got = defaultdict(set)
+    found = nearest.op6(df).collect()
+    for r in found:
+        got[r.query_id].add(r.vec_id)
+    assert sum(len(got[q] & {v for _, v in want[q]}) for q in want) / (5 * len(want)) >= 0.9
+    assert max(r.n_visited for r in found) < 0.15 * len(made)
+
+
+def test_nearest_visits_bounded_share_without_clusters(spark):
+    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    found = nearest.op6(vectors).select("query_id", "n_visited").distinct().toPandas()
+    assert 0 < found.n_visited.mean() < 0.45 * vectors.count()
+
+
+def test_nearest_of_a_hot_vector(spark):
+    """One vector holds a third of all rows: its cell goes to several blocks, whose rows all count."""
+    rng = np.random.default_rng(8)
+    made = [(i, [1.0, 2.0, 3.0, 4.0] if i % 3 == 0 else rng.normal(size=4).tolist()) for i in range(15_000)]
+    df = spark.createDataFrame(made, "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest.op6(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert len(got) == 300
+    for q in (0, 150, 300):
+        assert got[q] == [i for i in range(0, 30, 3) if i != q][:5]
+
+
+def test_nearest_many_queries_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "CHUNK_QUERIES", 7)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(5)
+    made = [(i, rng.normal(size=3).tolist()) for i in range(400)]
+    df = spark.createDataFrame(made, "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest.search(df, lambda i: i % 2 == 0, visit=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for _, i in found] for q, found in nearest_brute(made, every=2).items()}
+
+
 def test_nearest_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rng = np.random.default_rng(4)
@@ -645,12 +691,35 @@ def test_nearest_odd_vectors(spark):
     made += [(50, made[0][1]), (51, made[0][1]), (52, made[0][1])] + made[:2]  # ties and repeated rows
     made += [(100, None), (150, [0.0] * 8), (200, [nan] + [1.0] * 7), (250, [inf] + [1.0] * 7), (None, [1.0] * 8), (300, [None] + [1.0] * 7), (350, [1e200] * 8)]
     df = spark.createDataFrame(made, "vec_id bigint, embedding array<double>")
-    got = defaultdict(list)
+    got, scores = defaultdict(list), {}
     for r in nearest.search(df, lambda i: i % 50 == 0, visit=1.0).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
+        scores[r.query_id, r.vec_id] = r.score
     made = [m for m in made if m[0] != 350] + [(350, [1.0] * 8)]
-    want = {q: [i for _, i in found] for q, found in nearest_brute(made).items()}
-    assert got[0] == want[0] and got[50] == want[50] and set(got) == set(want) and 100 not in got
+    found = nearest_brute(made)
+    want = {q: [i for _, i in rows] for q, rows in found.items()}
+    assert got == want and got[350] and 100 not in got
+    assert all(abs(scores[q, i] + s) < 1e-12 and scores[q, i] != 0 for q, rows in found.items() for s, i in rows)
+
+
+def test_nearest_of_several_lengths(spark):
+    """Vectors meet those of as many components, however few there are; a lone one has no neighbour."""
+    rng = np.random.default_rng(11)
+    made = {8: [(i, rng.normal(size=8).tolist()) for i in range(300)], 3: [(i, rng.normal(size=3).tolist()) for i in range(1000, 1030)], 2: [(2000, [1.0, 2.0])]}
+    df = spark.createDataFrame(sum(made.values(), []), "vec_id bigint, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in nearest.search(df, lambda i: i % 50 == 0, visit=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = {q: [i for _, i in rows] for n in (8, 3) for q, rows in nearest_brute(made[n]).items()}
+    assert got == want
+    assert {r.query_id for r in nearest.op6(df).collect()} == set(want)
+
+
+def test_nearest_ignores_clashing_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], i, 0.5, 3, "x", 9, [1]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, cell int, score double, rank int, `a.b` string, block int, v array<int>")
+    plain = df.select("vec_id", "embedding")
+    assert bag(nearest.op6(df).collect()) == bag(nearest.op6(plain).collect()) != bag([])
 
 
 def test_nearest_of_few_rows(spark):
@@ -665,13 +734,13 @@ def test_walk_goes_by_summed_distance():
     rng = np.random.default_rng(9)
     a, b = rng.uniform(size=6), rng.uniform(size=7)
     counts = rng.integers(0, 5, 42)
-    cells = nearest.walk(a.tolist(), b.tolist(), counts, 10**9)
+    cells = nearest.walk(a.tolist(), b.tolist(), counts.tolist(), 10**9)
     d = (a[:, None] + b[None, :]).ravel()
     assert sorted(cells) == list(range(42)) and all(d[x] <= d[y] + 1e-12 for x, y in zip(cells, cells[1:]))
-    some = nearest.walk(a.tolist(), b.tolist(), counts, 20)
+    some = nearest.walk(a.tolist(), b.tolist(), counts.tolist(), 20)
     assert counts[some].sum() >= 20 > counts[some[:-1]].sum()
 
 
 def test_blocks_split_hot_cells():
-    made = nearest.lay_out(np.array([10, 0, 25, 3, 3]), rows=10)
-    assert made == [(0, 1), (0, 1), (1, 3), (4, 1), (4, 1)]
+    first, parts = nearest.lay_out(np.array([10, 0, 25, 3, 3]), rows=10)
+    assert first.tolist() == [0, 0, 1, 4, 4] and parts.tolist() == [1, 1, 3, 1, 1]
