@@ -20,7 +20,7 @@ codebooks, cells and blocks of their own.
 
 from __future__ import annotations
 
-import heapq
+from heapq import heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ MAX_TRAINING, MAX_TRAINING_BYTES = 16_384, 64 << 20
 ROUNDS = 12
 #: Rows of each vector length whose true neighbours tell how many candidates hold the
 #: TARGET share of them.
-PROBES, TARGET = 256, 0.96
+PROBES, TARGET = 256, 0.95
 BLOCK_ROWS, CHUNK_QUERIES = 4_096, 2_048
 NEIGHBOURS = 5
 
@@ -93,22 +93,31 @@ def codebook(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.n
     return centroids
 
 
-def walk(near: list[float], far: list[float], counts: list[int], wanted: int) -> list[int]:
-    """Cells in ascending order of summed distance until they hold ``wanted`` rows."""
-    a, b = np.argsort(near, kind="stable").tolist(), np.argsort(far, kind="stable").tolist()
-    rows, far, wide = [near[i] for i in a], [far[j] for j in b], len(b)
-    heap, cells, held, opened = [(rows[0] + far[0], 0, 0)], [], 0, 1
-    while heap and held < wanted:
-        _, i, j = heap[0]
-        cell = a[i] * wide + b[j]
+def walk(near: np.ndarray, far: np.ndarray, counts: list[int], wanted: int) -> list[int]:
+    """Cells in ascending order of summed distance until they hold ``wanted`` rows.
+
+    The heap has one entry for each centroid of the first half that is open, its next
+    pair: a whole number, the distance in units of 2**-32 above the centroid's rank."""
+    a, b = np.argsort(near, kind="stable"), np.argsort(far, kind="stable")
+    bits = len(a).bit_length()
+    whole = lambda d: (np.maximum(d, 0) * 2.0**32).astype(np.int64) << bits
+    rows, far = (whole(near[a]) + np.arange(len(a))).tolist(), [*whole(far[b]).tolist(), None]
+    start, b, mask = (a * len(b)).tolist(), b.tolist(), (1 << bits) - 1
+    at, heap, cells, held, opened = [0] * len(rows), [rows[0] + far[0]], [], 0, 1
+    while held < wanted and heap:
+        i = heap[0] & mask
+        j = at[i]
+        cell = start[i] + b[j]
         cells.append(cell)
         held += counts[cell]
-        if j + 1 < wide:
-            heapq.heapreplace(heap, (rows[i] + far[j + 1], i, j + 1))
+        at[i] = j + 1
+        after = far[j + 1]
+        if after is None:
+            heappop(heap)
         else:
-            heapq.heappop(heap)
+            heapreplace(heap, rows[i] + after)
         if not j and opened < len(rows):
-            heapq.heappush(heap, (rows[opened] + far[0], opened, 0))
+            heappush(heap, rows[opened] + far[0])
             opened += 1
     return cells
 
@@ -310,7 +319,7 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "emb
                 near, far = books.value.distances(_unit(x))
                 made, size = [], 0
                 for i in range(len(at)):
-                    cells = start + np.array(walk(near[i].tolist(), far[i].tolist(), held[n], wanted[n]))
+                    cells = start + np.array(walk(near[i], far[i], held[n], wanted[n]))
                     cells = np.sort(cells[counts[cells] > 0])
                     visited = counts[cells].sum()
                     # a large cell's blocks follow each other
