@@ -16,7 +16,7 @@ import xxhash
 pytest.importorskip("versewright.llm")
 
 from versewright.llm import language, licenses, line_dedup, mixing, nearest, pieces, quality_model, quality_rules, simhash, token_counts  # noqa: E402
-from versewright.llm.common import Scratch, tokenizer_bytes, tokenizer_path  # noqa: E402
+from versewright.llm.common import Scratch, sorted_buckets, tokenizer_bytes, tokenizer_path  # noqa: E402
 from versewright.llm.sql import OP2_SQL  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_tokens string, key int, `__text__` int, score int, a int"
@@ -167,13 +167,42 @@ def test_line_dedup_levels_and_repeats(spark):
         assert bag((r.doc_id, r.n_lines, r.n_dropped, digest(r.text)) for r in got.collect()) == bag(dedup_brute(made))
 
 
+def long_lines(spark, ids):
+    return line_dedup.line_hashes(spark.createDataFrame([(i, f"a line that is long enough {i % 5}") for i in ids], "doc_id bigint, text string"))
+
+
 def test_line_runs_are_compacted(spark):
     store = line_dedup.LineRuns(Scratch(spark, "test"), fanout=2)
-    hashes = lambda ids: line_dedup.line_hashes(spark.createDataFrame([(i, f"a line that is long enough {i % 5}") for i in ids], "doc_id bigint, text string"))
-    dropped = [{r.doc_id for r in store.ingest(hashes(range(k, k + 3))).collect()} for k in (0, 3, 6, 9)]
+    dropped = [{r.doc_id for r in store.ingest(long_lines(spark, range(k, k + 3))).collect()} for k in (0, 3, 6, 9)]
     assert dropped == [set(), {5}, {6, 7, 8}, {9, 10, 11}]
     assert [len(level) for level in store.levels] == [0, 0, 1]
     assert store.levels[2][0].count() == 5
+    store.clear()
+    assert store.levels[2][0].count() == 5
+
+
+def test_line_runs_are_merged_without_exchange_or_sort(spark):
+    store = line_dedup.LineRuns(Scratch(spark, "test"))
+    for k in range(0, 9, 3):
+        store.ingest(long_lines(spark, range(k, k + 3)))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    keys = long_lines(spark, range(9, 12)).groupBy("a", "b").count()
+    with sorted_buckets(spark):
+        batch = store.scratch.save_buckets(keys, "batch", ["a", "b"], store.buckets)
+        joined, merged = plan(store.fresh(batch)), plan(store._merged(store.runs()))
+    assert joined.count("SortMergeJoin") == 3 and "LeftAnti" in joined
+    assert "Exchange" not in joined and "Sort [" not in joined
+    assert "Exchange" not in merged
+
+
+def test_line_held_by_most_rows(spark, monkeypatch):
+    """A line of nine documents in ten is looked up in a broadcast table, in its batch and after."""
+    asked, ingest = [], line_dedup.LineRuns.ingest
+    monkeypatch.setattr(line_dedup.LineRuns, "ingest", lambda self, *a: (asked.append(ingest(self, *a)), asked[-1])[1])
+    made = rows([("one line that almost every document has\n" * (1 + i % 3) if i % 10 else "") + f"and one of its own, number {i}" for i in range(3000)])
+    df = spark.createDataFrame(made, SCHEMA)
+    assert bag(line_dedup.op2(df).collect()) == bag(dedup_brute(made))
+    assert len(asked) == line_dedup.BATCHES and "BroadcastHashJoin" in asked[-1]._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("query", [line_dedup.op2, line_dedup.deduped_documents])

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -52,13 +53,32 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``.  Only where that is unset and all tasks
+    run in this process, a local one; a cluster without a shared folder is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master})")
         root = "file://" + os.path.join(tempfile.gettempdir(), "versewright-checkpoints")
     return root.rstrip("/")
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession):
+    """While plans are made in here, bucketed tables count as partitioned and sorted by
+    their keys, so joins and merges of them need neither an exchange nor a sort."""
+    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables of one run in the shared folder.
 
@@ -77,13 +97,24 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """by: a column whose values get folders of their own."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._versewright_path = path
         return saved
 
+    def save_buckets(self, df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> DataFrame:
+        """As ``save``, in buckets of the keys' hash and sorted by the keys in each: one file a
+        bucket, if ``df`` is partitioned by the keys.  The catalog keeps no entry."""
+        path, known_as = self.path(name), f"versewright_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(known_as)
+        saved = self.spark.table(known_as)
+        self.spark.sql(f"DROP TABLE {known_as}")  # the files stay: the path makes it external
+        saved._versewright_path = path
+        return saved
+
     def drop(self, *saved: DataFrame) -> None:
         for df in saved:
             self._remove(df._versewright_path)

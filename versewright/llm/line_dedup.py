@@ -1,17 +1,22 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A store keeps the keys of all lines seen so far as runs: tables of (key, owner)
-sorted by key.  A batch of documents
+A store keeps the keys of all lines seen so far as runs: tables of (key, owner), in
+buckets of the key's hash and sorted by key.  A batch of documents
 
 1. gets its distinct keys (grouped, so a key of very many lines is summed up before
-   the shuffle),
-2. merge-anti-joins them with the runs: what is left is new and becomes a run of
-   level 0, its owner the smallest document of the batch that holds it,
-3. loses the lines whose key an earlier batch owns or another document of the batch.
+   the shuffle) as a table sorted the same way,
+2. merge-anti-joins them with the runs, one after the other, without any exchange or
+   sort: what is left is new and becomes a run of level 0, its owner the smallest
+   document of the batch that holds it,
+3. loses the lines whose key the new run does not give to their document.
 
-When a level holds FANOUT runs they are merged into one run of the next, so a store
-of n batches has O(log n) runs.  Everything is DataFrame operations.  Runs are written
-to the shared folder and never recomputed.
+When a level holds FANOUT runs they are merged, bucket by bucket, into one run of the
+next, so a store of n batches has O(log n) runs.  Everything is DataFrame operations.
+Runs are written to the shared folder and never recomputed.
+
+A line that very many documents hold would send all its places to one task in step 3.
+Keys with at least one in HOT_SHARE of a batch's lines are so looked up in a broadcast
+table, of HOT_SHARE rows at most.
 
 Keys are compared by two 64-bit hashes with different seeds; texts never leave the
 two scans that cut them into lines.
@@ -24,15 +29,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, own
+from .common import Scratch, col, own, sorted_buckets
 
 #: White space stripped from the ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
 MIN_KEY = 10
 FANOUT = 4
 #: Batches that ``dedup_lines`` cuts a whole table into, by ranges of doc_id: more than
-#: FANOUT, so the runs are compacted and the last batch meets those of two levels.
+#: FANOUT, so the runs are compacted and the last batch meets those of two levels.  The
+#: number doesn't grow with the table: each batch reads all runs before it, so that
+#: would make the work quadratic.
 BATCHES = FANOUT + 2
+HOT_SHARE = 2_048
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,62 +72,88 @@ class LineRuns:
 
     def __init__(self, scratch: Scratch, fanout: int = FANOUT):
         self.scratch, self.fanout = scratch, fanout
+        # as many as a grouping makes partitions, so its result is in buckets already
+        self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.spent: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def ingest(self, lines: DataFrame) -> DataFrame:
-        """Rows (doc_id, version, pos) of the batch's lines to drop; adds the batch's run."""
-        held = lines.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-        known = self.runs()
-        if known:
-            before = reduce(DataFrame.unionByName, [r.select("a", "b") for r in known])
-            held = self.scratch.save(held, "held")
-            fresh = held.join(before, ["a", "b"], "left_anti")
-            old = held.join(before, ["a", "b"], "left_semi").select("a", "b", F.lit(None).cast("bigint").alias("owner"))
-        else:
-            fresh, old = held, None
-        fresh = self._add(fresh)
-        shared = fresh.filter("owner < last").select("a", "b", "owner")
-        shared = shared.unionByName(old) if old is not None else shared
-        return lines.join(shared, ["a", "b"]).filter("owner is null or doc_id <> owner").select("doc_id", "version", "pos")
-
-    def _add(self, keys: DataFrame) -> DataFrame:
-        run = self.scratch.save(keys.sortWithinPartitions("a", "b"), "run-0")
+    def fresh(self, held: DataFrame) -> DataFrame:
+        """The keys that no run has: sorted tables, merged."""
+        for run in self.runs():
+            held = held.join(run.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        return held
+
+    def ingest(self, lines: DataFrame, total: int | None = None) -> DataFrame:
+        """Rows (doc_id, version, pos) of the batch's lines to drop; adds the batch's run.
+        They are not computed yet: save them within ``sorted_buckets`` before ``clear``.
+        total: the number of lines, where it is known."""
+        scratch, total = self.scratch, lines.count() if total is None else total
+        grouped = lines.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+        with sorted_buckets(scratch.spark):
+            held = scratch.save_buckets(grouped, "held", ["a", "b"], self.buckets)
+            run = scratch.save_buckets(self.fresh(held.select("a", "b", "owner")), "run-0", ["a", "b"], self.buckets)
+            frequent = held.filter(F.col("n") >= max(2, total / HOT_SHARE)).select("a", "b")  # HOT_SHARE rows at most
+            hot = frequent.join(run.hint("merge"), ["a", "b"], "left").select("a", "b", "owner")
+            of_hot = lines.join(F.broadcast(hot), ["a", "b"]).filter("owner is null or doc_id > owner")
+            rest = lines.join(F.broadcast(frequent), ["a", "b"], "left_anti")
+            keys = run.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "owner").hint("merge")
+            # the owner is the smallest, so a line that its document doesn't own has a larger id
+            lost = rest.join(keys, (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb")) & (F.col("doc_id") <= F.col("owner")), "left_anti")
+            self.spent.append(held)
+            self._add(run)
+        place = ["doc_id", "version", "pos"]
+        return of_hot.select(*place).unionByName(lost.select(*place))
+
+    def clear(self) -> None:
+        """Free what only the batches so far needed."""
+        self.scratch.drop(*self.spent)
+        self.spent = []
+
+    def _add(self, run: DataFrame) -> None:
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(run)
         self._compact()
-        return run
 
     def _compact(self) -> None:
-        """Merge full levels into the next.  Runs of different batches share no key."""
+        """Merge full levels into the next, each bucket by itself.  Runs of different
+        batches share no key."""
         at = 0
         while at < len(self.levels):
             level = self.levels[at]
             if len(level) >= self.fanout:
-                whole = reduce(DataFrame.unionByName, [r.select("a", "b", "owner", "last") for r in level])
-                merged = self.scratch.save(whole.repartition("a", "b").sortWithinPartitions("a", "b"), f"run-{at + 1}")
+                merged = self.scratch.save_buckets(self._merged(level), f"run-{at + 1}", ["a", "b"], self.buckets)
                 if at + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[at] = []
                 self.levels[at + 1].append(merged)
+                self.spent += level
             at += 1
 
+    def _merged(self, level: list[DataFrame]) -> DataFrame:
+        whole = reduce(DataFrame.unionByName, level)
+        return whole.repartition(self.buckets, "a", "b").sortWithinPartitions("a", "b")
+
 
 def lines_to_drop(docs: DataFrame, scratch: Scratch, text: str = "text", min_key: int = MIN_KEY, batches: int = BATCHES) -> DataFrame:
     """(doc_id, version, pos) of all lines that lose against a smaller doc_id."""
-    hashes = scratch.save(line_hashes(docs, text, min_key), "lines")
     cuts = [k / batches for k in range(1, batches)]
-    edges = sorted({int(e) for e in hashes.approxQuantile("doc_id", cuts, 0.02)}) if cuts else []
-    store, drops = LineRuns(scratch), []
-    for low, high in zip([None, *edges], [*edges, None]):
-        batch = hashes
-        batch = batch if low is None else batch.filter(F.col("doc_id") > low)
-        batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
-        drops.append(store.ingest(batch))
-    return reduce(DataFrame.unionByName, drops)
+    edges = sorted({int(e) for e in docs.select(col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", cuts, 0.02)}) if cuts else []
+    batch = sum((F.when(F.col("doc_id") > e, 1).otherwise(0) for e in edges), F.lit(0))
+    hashes = scratch.save(line_hashes(docs, text, min_key).withColumn("batch", batch), "lines", by="batch")
+    sizes = {r["batch"]: r["count"] for r in hashes.groupBy("batch").count().collect()}
+    store = LineRuns(scratch)
+    drops = [store.ingest(hashes.filter(F.col("batch") == at).drop("batch"), sizes[at]) for at in sorted(sizes)]
+    if not drops:
+        return hashes.select("doc_id", "version", "pos")
+    with sorted_buckets(docs.sparkSession):
+        saved = scratch.save(reduce(DataFrame.unionByName, drops), "drops")
+    store.clear()
+    scratch.drop(hashes, *store.runs())
+    return saved
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, text: str = "text", min_key: int = MIN_KEY, batches: int = BATCHES) -> DataFrame:
