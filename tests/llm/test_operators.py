@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 pytest.importorskip("versewright.llm")
 
@@ -582,8 +583,6 @@ def test_mixing_weights_and_counts(spark):
 
 
 def test_poisson_steps_of_large_rates(spark):
-    from pyspark.sql import functions as F
-
     for rate in (0.0, 1e-3, 4.5, 900.0):
         steps = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("s")).first().s
         assert abs(steps[-1] - 1) < 1e-9 and all(a <= b for a, b in zip(steps, steps[1:]))
@@ -599,33 +598,111 @@ def test_mixing_odd_rows(odd, empty):
 # -- quality model -------------------------------------------------------------------
 
 
-def test_classifier_auc(spark):
-    sf = "/root/testdata/sf0.01"
+def test_classifier_auc_of_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    labels = labels.withColumnRenamed("quality", "y")
-    got = quality_model.op3(docs, labels.withColumnRenamed("y", "quality")).join(labels.select("doc_id", "y"), "doc_id").toPandas()
-    assert len(quality_model.op3(docs, labels.withColumnRenamed("y", "quality")).select("doc_id").collect()) == docs.count()
-    good, bad = got[got.y == 1].quality.to_numpy(), got[got.y == 0].quality.to_numpy()
+    judged = quality_model.op3(docs, labels)
+    got = judged.join(labels.select("doc_id", F.col("quality").alias("y")), "doc_id").toPandas()
+    assert judged.count() == docs.count()
+    held = got[got.held_out]
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out)) and len(held) > 500
+    good, bad = held[held.y == 1].quality.to_numpy(), held[held.y == 0].quality.to_numpy()
     assert (good[:, None] > bad[None, :]).mean() > 0.97
-    assert got[got.y == 1].kept.mean() > 0.98
+    assert held[held.y == 1].kept.mean() > 0.98
+
+
+def test_classifier_learns_from_words_alone(spark):
+    """Labels that only words tell apart: lengths, signs and shapes are the same."""
+    rng = random.Random(4)
+    good, bad = ("river stone cloud amber maple".split(), "money prize click bonus lucky".split())
+    made = [(i, " ".join(rng.choices(good if i % 2 else bad, k=30)) + ".") for i in range(400)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in made], "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in made], "doc_id bigint, quality int, toxic int")
+    got = quality_model.op3(df, labels).filter("held_out").collect()
+    assert len(got) > 40 and all(r.kept == bool(r.doc_id % 2) for r in got)
+
+
+def test_grams_match_their_definition():
+    texts = ["Two words", None, "", "É x", "a  b\tc\n", "same same same"]
+    rng = np.random.default_rng(3)
+    ratios = rng.normal(size=(quality_model.KINDS, quality_model.BUCKETS)).astype(np.float32)
+    got = quality_model.features(texts, ratios)[:, -quality_model.KINDS :]
+    one = [quality_model.features([t], ratios)[0, -quality_model.KINDS :] for t in texts]
+    assert np.allclose(got, one) and (got[1] == 0).all() and (got[2] == 0).all()
+
+    def bucket(h):
+        return (h * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - quality_model.BITS)
+
+    for t, (word, pair, gram) in zip(texts, got):
+        raw = bytes(quality_model._FOLD[np.frombuffer((t or "").encode(), dtype=np.uint8)])
+        words = [sum(c * pow(0x100000001B3, k + 1) for k, c in enumerate(w)) & (1 << 64) - 1 for w in re.split(rb"[\x00-\x20]+", raw) if w]
+        mean = lambda kind, hs: np.mean([ratios[kind][bucket(h)] for h in hs]) if hs else 0.0
+        assert np.isclose(word, mean(0, words))
+        assert np.isclose(pair, mean(1, [(a * 0x9E3779B97F4A7C15 + b) & (1 << 64) - 1 for a, b in zip(words, words[1:])]))
+        ended = raw + b" " if raw else raw  # a space ends each text
+        assert np.isclose(gram, mean(2, [int.from_bytes(ended[i : i + 4], "little") for i in range(len(ended) - 3)]))
+
+
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    text = "some words of a text " * 2000
+    sizes = [len(block) for block in map(list, quality_model.gram_blocks([text] * 3 + ["x"]))]
+    assert sizes == [quality_model.KINDS] * len(sizes)
+    monkeypatch.setattr(quality_model, "BLOCK", 1000)
+    blocks = [list(b) for b in quality_model.gram_blocks([text])]
+    assert len(blocks) == -(-len(text) // 1000) and all(len(x) <= 1001 for b in blocks for x, _ in b)
+
+
+def nested_brute(scored):
+    """Mean, strength of hosts, strength of paths from (host, path, p), by loops over groups."""
+    of_path, of_host = defaultdict(list), defaultdict(list)
+    for h, q, p in scored:
+        of_path[h, q].append(p)
+        of_host[h].append(p)
+    every = [p for *_, p in scored]
+    n = len(every)
+
+    def strength(groups, parent, weight, degrees):
+        within = max(sum((p - np.mean(g)) ** 2 for g in groups.values() for p in g) / (n - len(groups)), 1e-9)
+        between = sum(len(g) * (np.mean(g) - parent(k)) ** 2 for k, g in groups.items())
+        variance = (between - degrees * within) / (n - weight)
+        return min(max(within / max(variance, 1e-12), 0.1), 1e6)
+
+    host = strength(of_host, lambda k: np.mean(every), sum(len(g) ** 2 for g in of_host.values()) / n, len(of_host) - 1)
+    path = strength(of_path, lambda k: np.mean(of_host[k[0]]), sum(len(g) ** 2 / len(of_host[k[0]]) for k, g in of_path.items()), len(of_path) - len(of_host))
+    return np.mean(every), host, path
+
+
+def test_posteriors_and_quality_by_brute_force(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    got = quality_model.op3(docs[1], labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in docs[0])
+    mean, kh, kp = nested_brute([(r.host, r.path, r.p_doc) for r in got])
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for r in got:
+        host = [x.p_doc for x in got if x.host == r.host and x is not r]
+        path = [x.p_doc for x in got if (x.host, x.path) == (r.host, r.path) and x is not r]
+        p_host = (kh * mean + sum(host)) / (kh + len(host))
+        p_path = (kp * p_host + sum(path)) / (kp + len(path))
+        quality = 1 / (1 + np.exp(-(logit(r.p_doc) + logit(p_path) - logit(mean))))
+        assert np.allclose((r.p_host, r.p_path, r.quality), (p_host, p_path, quality), rtol=1e-6)
+        assert r.kept == (r.quality >= 0.5)
 
 
-def test_posteriors_by_hand(spark):
-    scored = [(i, f"h{i % 3}", f"p{i % 2}", p) for i, p in enumerate(np.random.default_rng(2).uniform(size=90).tolist())]
-    df = spark.createDataFrame(scored, "doc_id bigint, host string, path string, p double")
-    sites, at = quality_model.posteriors(df, Scratch(spark, "test"), "host", "path")
-    got = {(r["__h__"], r["__p__"]): (r.n, r.s, r.hn, r.hs) for r in sites.collect()}
-    for (h, p), (n, s, hn, hs) in got.items():
-        mine, host = [x[3] for x in scored if x[1] == h and x[2] == p], [x[3] for x in scored if x[1] == h]
-        assert (n, hn) == (len(mine), len(host)) and abs(s - sum(mine)) < 1e-9 and abs(hs - sum(host)) < 1e-9
-    assert abs(at["mean"] - np.mean([x[3] for x in scored])) < 1e-12
+def test_paths_that_do_not_differ_shrink_to_their_host(spark):
+    """However much hosts differ, equal paths within them get a strength that leaves nothing of their own."""
+    noise = np.random.default_rng(2).normal(size=100) * 0.02  # the same in each path
 
+    def of(path_moves):
+        made = [(i, f"h{i % 4}", f"p{i % 3}", float(0.2 * (i % 4) + path_moves * (i % 3) + noise[i // 12])) for i in range(1200)]
+        df = spark.createDataFrame(made, "doc_id bigint, host string, path string, p double")
+        sites, at = quality_model.posteriors(df, Scratch(spark, "test"), "host", "path")
+        want = nested_brute([m[1:] for m in made])
+        assert np.allclose((at["mean"], at["host"], at["path"]), want, rtol=1e-6) and sites.count() == 12
+        return at
 
-def test_strength_of_equal_and_unequal_sites(spark):
-    site = lambda xs: (len(xs), float(sum(xs)), float(sum(x * x for x in xs)))
-    unequal = spark.createDataFrame([site([0.1, 0.12] * 20), site([0.9, 0.88] * 20)], "n bigint, s double, ss double")
-    equal = spark.createDataFrame([site([0.1, 0.9] * 20), site([0.1, 0.9] * 20)], "n bigint, s double, ss double")
-    assert quality_model.strength(unequal) < 1 < 1000 < quality_model.strength(equal)
+    equal, unequal = of(0.0), of(0.1)
+    assert equal["host"] < 1 and equal["path"] > 1000
+    assert unequal["path"] < 1
 
 
 def test_classifier_odd_rows(spark, odd, empty):
@@ -636,6 +713,20 @@ def test_classifier_odd_rows(spark, odd, empty):
     assert quality_model.op3(empty, labels).collect() == []
 
 
+def test_classifier_ignores_clashing_columns(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    clash = docs[1].withColumns({c: F.lit(0.5) for c in ("host", "path", "p", "quality", "y", "fold", "n", "s", "a.b")})
+    assert bag(quality_model.op3(clash, labels.withColumn("text", F.lit("x"))).collect()) == bag(quality_model.op3(docs[1], labels).collect())
+
+
+def test_training_takes_one_text_of_an_id(spark):
+    rows = [(i % 4, f"text {i}", "en", "s") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)] * 2, "doc_id bigint, quality int, toxic int")
+    got = quality_model.training_rows(df, labels).collect()
+    assert Counter(r.doc_id for r in got) == {i: 1 for i in range(4) if zlib.crc32(str(i).encode()) % 5} and all(r.text == min(t for i, t, *_ in rows if i == r.doc_id) for r in got)
+
+
 # -- nearest neighbours --------------------------------------------------------------
 
 
