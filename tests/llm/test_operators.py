@@ -286,10 +286,75 @@ def test_links_of_planted_fingerprints(spark, dense, equal):
     points |= {0, 1, (1 << 64) - 1, 1 << 63, 0x1F, 0x3F}
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     df = spark.createDataFrame([(signed(p),) for p in points], "fp bigint").repartition(5)
-    got = {r.node: r.root for r in simhash.components(simhash.link_forest(df, equal=equal, dense=dense), Scratch(spark, "test")).collect()}
     want = components_brute(points)
     classes = lambda of: {frozenset(g) for g in _groups(of).values() if len(g) > 1}
-    assert classes(got) == classes({signed(a): signed(b) for a, b in want.items()})
+    for tile in (16_384, 37):  # with the smaller, many cells are cut
+        scratch = Scratch(spark, "test")
+        got = {r.node: r.root for r in simhash.components(simhash.link_forest(df, scratch, equal=equal, dense=dense, tile=tile), scratch).collect()}
+        assert classes(got) == classes({signed(a): signed(b) for a, b in want.items()})
+
+
+#: 100,000 pass as well, in some minutes.
+HOT_POINTS = 30_000
+
+
+def test_links_of_a_hot_cell(spark):
+    """Points with one embedding, so in one cell of every grid: pairs of bits 01 or
+    10, of which links change two or four at a time."""
+    rng = np.random.default_rng(12)
+    flips = np.unique(rng.integers(0, 1 << 32, HOT_POINTS, dtype=np.uint64))
+    spread = np.zeros(len(flips), dtype=np.uint64)
+    for k in range(32):
+        spread |= np.where(flips >> np.uint64(k) & np.uint64(1), np.uint64(2), np.uint64(1)) << np.uint64(2 * k)
+    df = spark.createDataFrame([(int(x),) for x in spread.view(np.int64)], "fp bigint").repartition(8)
+    scratch = Scratch(spark, "test")
+    edges = scratch.save(simhash.link_forest(df, scratch, tile=4_096), "edges")
+    got = {r.node: r.root for r in simhash.components(edges, scratch).collect()}
+    label, have = np.arange(len(flips)), {int(f): i for i, f in enumerate(flips)}
+
+    def find(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    masks = [1 << a | 1 << b for a in range(32) for b in range(a)] + [1 << a for a in range(32)]  # two bits of a segment differ, or four of two
+    at = np.searchsorted(flips, flips[None, :] ^ np.array(masks, dtype=np.uint64)[:, None])
+    hit = flips[np.minimum(at, len(flips) - 1)] == flips[None, :] ^ np.array(masks, dtype=np.uint64)[:, None]
+    for m, i in zip(*np.nonzero(hit)):
+        a, b = find(i), find(at[m, i])
+        label[max(a, b)] = min(a, b)
+    want = {int(x): find(i) for i, x in enumerate(spread.view(np.int64))}
+    classes = lambda of: {frozenset(g) for g in _groups(of).values() if len(g) > 1}
+    assert have and classes(got) == classes(want) != set()
+
+
+def test_forests_have_no_hubs():
+    label = np.array([0] * 5000 + [5000] + [5001] * 3)
+    u, v = simhash._tree(label)
+    assert len(u) == 4999 + 2 and max(Counter(v.tolist()).values()) <= simhash.FAN
+    assert len(set(simhash._forest(len(label), u, v))) == 3
+
+
+def test_embedding_distance_is_manhattan_and_a_lower_bound():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 1 << 64, 300, dtype=np.uint64) for _ in range(2))
+    segments = lambda x: np.array([[bin(int(p) >> (2 * k) & 3).count("1") for k in range(32)] for p in x])
+    manhattan = np.abs(segments(a) - segments(b)).sum(axis=1)
+    assert (np.bitwise_count(simhash.embed(a) ^ simhash.embed(b)) == manhattan).all()
+    assert (manhattan <= np.bitwise_count(a ^ b)).all()
+
+
+def test_grids_grow_with_the_points():
+    assert [simhash.groups_equal(n) for n in (0, 10**6, 10**9, 10**11)] == [2, 2, 4, 4]
+
+
+def test_simhash_of_a_text_that_most_rows_have(spark):
+    """Copies, blank texts among them, hold most rows: they are one point each."""
+    rng = random.Random(7)
+    texts = ["one text that is copied very often, word for word"] * 900 + [" "] * 600 + [" ".join(rng.choices(WORDS, k=40)) for _ in range(100)]
+    made = rows(texts)
+    assert bag(simhash.op5(spark.createDataFrame(made, SCHEMA)).collect()) == bag(near_brute(made))
 
 
 def _groups(of):
@@ -308,9 +373,10 @@ def test_walk_and_forest_agree():
     assert {frozenset(np.flatnonzero(a == k)) for k in set(a)} == {frozenset(np.flatnonzero(b == k)) for k in set(b)}
 
 
-def test_segments_bound_the_distance():
-    masks = simhash.group_masks()
-    assert sum(masks) == (1 << 64) - 1 and len(masks) == 6 and all(m & n == 0 for m in masks for n in masks if m != n)
+@pytest.mark.parametrize("groups", [6, 7, 8])
+def test_segments_bound_the_distance(groups):
+    masks = simhash.group_masks(groups)
+    assert sum(masks) == (1 << 64) - 1 and len(masks) == groups and all(m & n == 0 for m in masks for n in masks if m != n)
 
 
 def test_one_of_each(spark, odd, empty):

@@ -128,6 +128,18 @@ class Scratch:
             pass
 
 
+#: A key with at least one in so many of all rows is hot; there can be no more of them.
+HOT_SHARE = 2_048
+
+
+def join_hot(rows: DataFrame, found: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``found`` by ``key``, where few keys may hold most of ``rows``:
+    those of ``hot``, a part of ``found`` of at most HOT_SHARE rows, are looked up in a
+    broadcast table, so their rows are not shuffled."""
+    looked_up = rows.join(F.broadcast(hot), key)
+    return looked_up.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found, key))
+
+
 # -- Arrow batches -------------------------------------------------------------------
 
 

@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, own, sorted_buckets
+from .common import HOT_SHARE, Scratch, col, own, sorted_buckets
 
 #: White space stripped from the ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -40,7 +40,6 @@ FANOUT = 4
 #: number doesn't grow with the table: each batch reads all runs before it, so that
 #: would make the work quadratic.
 BATCHES = FANOUT + 2
-HOT_SHARE = 2_048
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
