@@ -605,17 +605,68 @@ def test_language_counts_of_many_languages(monkeypatch):
         for row in batch.to_pylist():
             got[row["lang"], row["bucket"]] += row["n"]
     for a, t in made:
-        want.update((a, int(x)) for h in language._hash(language._codes(t)) for x in h)
+        want[a, -1] += 1
+        want.update((a, x) for x in gram_buckets(t))
     assert got == want
 
 
+def gram_buckets(text):
+    """The buckets of a text's 1-, 2- and 3-grams, one by one."""
+    codes = [ord(c) if ord(c) > 127 or c.isalpha() else 32 for c in f" {text.lower()} "]
+    m, out = (1 << 32) - 1, []
+    for i, x in enumerate(codes):
+        a = [c * 0x9E3779B1 & m for c in codes[i : i + 3]]
+        out.append(a[0] >> 32 - language.BITS)
+        if len(a) > 1:
+            b = [((p ^ p >> 15) * 0x85EBCA77 + q) & m for p, q in zip(a, a[1:])]
+            out.append((b[0] * 0xC2B2AE3D & m) >> 32 - language.BITS)
+            if len(a) > 2:
+                c = ((b[0] ^ b[0] >> 13) * 0x27D4EB2F + a[2]) & m
+                out.append((c * 0x165667B1 & m) >> 32 - language.BITS)
+    return out
+
+
+@pytest.mark.parametrize(("block", "cells"), [(1 << 18, 1 << 23), (7, 1 << 23), (1 << 18, 1000)])
+def test_language_naive_bayes_by_brute_force(spark, monkeypatch, block, cells):
+    """Priors, log-probabilities and posteriors of short and odd texts; with small blocks, and few buckets."""
+    monkeypatch.setattr(language, "BLOCK", block)
+    made = [("en", "the words and the things"), ("en", "a thing"), ("de", "das Wort und der Baum"), ("el", "τα γράμματα"), ("en", ""), (None, "no label"), ("de", None)]
+    df = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(made)], "doc_id bigint, text string, lang string")
+    model = language.fit(df, cells=cells)
+    buckets = language.BUCKETS >> model.shift
+    assert model.langs == ["de", "el", "en"] and 3 * buckets <= cells
+    counts = {x: Counter(b >> model.shift for k, t in made if k == x and t for b in gram_buckets(t)) for x in model.langs}
+    prior = {"de": 1 / 4, "el": 1 / 4, "en": 2 / 4}
+    asked = [t for t in ODD if t and len(t) < 1000] + [t for _, t in made if t]
+    for t, label, score in zip(asked, *model.predict(asked)):
+        if not any(c.isalpha() for c in t):
+            assert (label, score) == ("und", 0.0)
+            continue
+        logs = {x: np.log(prior[x]) + sum(np.log((counts[x][b >> model.shift] + 0.5) / (counts[x].total() + 0.5 * buckets)) for b in gram_buckets(t)) for x in model.langs}
+        share = {x: 1 / sum(np.exp(y - logs[x]) for y in logs.values()) for x in logs}
+        assert abs(score - share[label]) < 1e-3 and share[label] > max(share.values()) - 1e-3
+
+
+def test_language_letters():
+    assert not any(map(language.has_letter, ["", "² ½ ① Ⅷ", "12 _ 3", "...", "\u0301", "😀"]))
+    assert all(map(language.has_letter, ["²a", "ʰ", "日", "ª", "é"]))
+    model = language.Model(["en"], np.zeros((language.BUCKETS, 1), dtype=np.float32), np.zeros(1))
+    assert model.predict(["² ½ ①", "Ⅷ", "x", None]) == (["und", "und", "en", "und"], [0.0, 0.0, 1.0, 0.0])
+
+
 def test_language_blocks_add_up(monkeypatch):
     rng = np.random.default_rng(0)
     model = language.Model(["a", "b"], rng.normal(size=(language.BUCKETS, 2)).astype(np.float32), np.zeros(2))
-    text = "some words and others " * 400
-    whole = model.predict([text])
-    monkeypatch.setattr(language, "BLOCK", 1 << 20)
-    assert whole == model.predict([text])
+    texts = ["some words and others " * 400, "x", None, "", "more of them"]
+    whole = model.log_odds(texts)
+    monkeypatch.setattr(language, "BLOCK", 100)
+    assert np.allclose(whole, model.log_odds(texts), atol=1e-6)
+    assert np.allclose(whole[4], model.log_odds(texts[4:])[0])
+
+
+def test_language_ignores_clashing_columns(docs):
+    clash = docs[1].withColumns({c: F.lit("x") for c in ("held_out", "lang_pred", "score", "bucket", "n", "a.b")})
+    assert bag(language.op10(clash).collect()) == bag(language.op10(docs[1]).collect())
 
 
 # -- mixing --------------------------------------------------------------------------
