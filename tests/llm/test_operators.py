@@ -700,9 +700,51 @@ def test_mixing_weights_and_counts(spark):
 
 
 def test_poisson_steps_of_large_rates(spark):
-    for rate in (0.0, 1e-3, 4.5, 900.0):
-        steps = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("s")).first().s
-        assert abs(steps[-1] - 1) < 1e-9 and all(a <= b for a, b in zip(steps, steps[1:]))
+    rates = [("a", 0.0), ("b", 1e-3), ("c", 4.5), (None, 900.0), ("e", 2.5e6)]
+    df = spark.createDataFrame(rates, "source string, rate double")
+    made = {r.source: r for r in mixing.poisson_steps(df).collect()}
+    assert len(made) == 5 and made["a"].steps == [1.0] and made["a"].low == 0
+    for name, rate in rates[1:]:
+        r = made[name]
+        assert abs(r.steps[-1] - 1) < 1e-7 and all(a <= b for a, b in zip(r.steps, r.steps[1:]))
+        assert len(r.steps) < 2 * 12 * np.sqrt(rate) + 60
+        # half of the distribution lies below its mean
+        at = next(k for k, x in enumerate(r.steps) if x >= 0.5)
+        assert abs(r.low + at - rate) <= 1
+    p, total = np.exp(-4.5), 0.0
+    for k, x in enumerate(made["c"].steps):
+        total += p
+        assert abs(x - total) < 1e-12
+        p *= 4.5 / (k + 1)
+
+
+def test_steps_below_is_a_count(spark):
+    steps = [0.1, 0.1, 0.4, 0.9, 1.0]
+    for n in (0, 1, 2, 5):
+        df = spark.createDataFrame([(steps[:n], u) for u in (0.0, 0.05, 0.1, 0.3, 0.95, 1.0, 2.0)], "s array<double>, u double")
+        for r in df.select("s", "u", mixing.steps_below(F.col("s"), F.col("u")).alias("n")).collect():
+            assert r.n == sum(x <= r.u for x in r.s)
+
+
+def test_mixing_sql_of_a_tiny_source(spark, tmp_path):
+    """Documents of a tiny source repeat over a thousand times, in Spark and in SQL."""
+    made = [(i, "x" * 100_000, "big") for i in range(600)] + [(1000 + i, "tiny", "small") for i in range(3)] + [(2000, "of no source", None), (2001, None, "blank")]
+    df = spark.createDataFrame(made, "doc_id bigint, text string, source string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    got = bag(mixing.op9(df).collect())
+    assert bag(con.sql(mixing.OP9_SQL).fetchall()) == got
+    copies = Counter(r[0] for r in got)
+    assert all(copies[1000 + i] > 1000 for i in range(3)) and copies[2000] > 200
+
+
+def test_mixing_through_a_shuffled_table(docs, monkeypatch):
+    """As when the table of distributions is too large to be broadcast; most rows have one source."""
+    df = docs[1].withColumn("source", F.when(F.col("doc_id") % 10 > 1, F.lit("most")).otherwise(F.col("source")))
+    want = bag(mixing.op9(df).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert bag(mixing.op9(df).collect()) == want
 
 
 def test_mixing_odd_rows(odd, empty):
