@@ -398,4 +398,5 @@ def scan_licenses(docs: DataFrame, keep=("doc_id",), text: str = "text") -> Data
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """doc_id and the columns of ``scan`` of each row; cases as in ``scan_licenses``."""
     return scan_licenses(docs)

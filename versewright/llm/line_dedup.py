@@ -155,20 +155,21 @@ def lines_to_drop(docs: DataFrame, scratch: Scratch, text: str = "text", min_key
     return saved
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, text: str = "text", min_key: int = MIN_KEY, batches: int = BATCHES) -> DataFrame:
-    """All columns of ``docs`` with ``n_lines``, ``n_dropped`` (long) and the text without
-    the lines whose key (of min_key code points or more) a smaller doc_id holds too.
+def dedup_lines(docs: DataFrame, scratch: Scratch, text: str = "text", min_key: int = MIN_KEY, batches: int = BATCHES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """All columns of ``docs`` with two counts (long), of the lines before and of those
+    dropped, and the text without the lines whose key (of min_key code points or more) a
+    smaller doc_id holds too.
 
     A null or empty text is one empty line.  Rows with a null doc_id stay whole and own
     nothing.  Rows of the same doc_id are one document: they don't cost each other
-    lines.  An empty table gives an empty result.  Columns named n_lines or n_dropped
-    are replaced.
+    lines.  An empty table gives an empty result.  Columns with the names of the counts
+    are replaced; others stay, whatever their names.
     """
     drops = lines_to_drop(docs, scratch, text, min_key, batches)
     lists = drops.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("pos"))
     i, v, p, ls, n = (own(name, docs) for name in ("__id__", "__version__", "__pos__", "__lines__", "__n__"))
     ours = lists.select(F.col("doc_id").alias(i), F.col("version").alias(v), F.col("pos").alias(p))
-    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    keep = [c for c in docs.columns if c.lower() not in counts]
     rows = docs.select(*[col(c) for c in keep])
     version = F.xxhash64(F.coalesce(col(text).cast("string"), F.lit("")))
     joined = rows.join(ours, (col("doc_id") == F.col(i)) & (version == F.col(v)), "left")
@@ -180,17 +181,20 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, text: str = "text", min_key:
     new = F.when(F.col(p).isNull(), whole).otherwise(kept)
     return cut.select(
         *[new.alias(c) if c == text else col(c) for c in keep],
-        F.col(n).cast("long").alias("n_lines"),
-        F.coalesce(F.size(p), F.lit(0)).cast("long").alias("n_dropped"),
+        F.col(n).cast("long").alias(counts[0]),
+        F.coalesce(F.size(p), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    made = dedup_lines(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "line-dedup"))
+    """doc_id, n_lines, n_dropped and kept_sha256 of each row; cases as in ``dedup_lines``."""
+    made = dedup_lines(docs.select(col("doc_id"), col("text")), Scratch(docs.sparkSession, "line-dedup"))
     return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.col("text"), "UTF-8"), 256).alias("kept_sha256"))
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
-    """The documents with deduped text and its length in ``n_chars``."""
-    made = dedup_lines(docs, Scratch(docs.sparkSession, "line-dedup"))
+    """The documents with deduped text and its length in ``n_chars``; no row goes, and all
+    other columns stay as they are.  Cases as in ``dedup_lines``; a null text becomes empty."""
+    counts = (own("__n_lines__", docs), own("__n_dropped__", docs))
+    made = dedup_lines(docs, Scratch(docs.sparkSession, "line-dedup"), counts=counts)
     return made.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else col(c) for c in docs.columns])

@@ -181,6 +181,8 @@ def encode_decode(docs: DataFrame, model: str, keep=("doc_id",), text: str = "te
 
 
 def op8(docs: DataFrame, model: str, keep=("doc_id",)) -> DataFrame:
+    """``docs[keep]`` with n_tokens, ids_sha256 and decoded_sha256 of each row; cases as in
+    ``encode_decode``."""
     made = encode_decode(docs, model, keep)
     return made.select(
         *keep,

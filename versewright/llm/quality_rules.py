@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import col, map_texts
 
 #: White space of the rules: space, tab, newline, vertical tab, form feed, return.
 BLANK = " \t\n\x0b\x0c\r"
@@ -142,11 +142,19 @@ def apply_quality_rules(docs: DataFrame, keep=("doc_id",), text: str = "text") -
 
 
 def op7(docs: DataFrame) -> DataFrame:
+    """doc_id, the measures, base_failed, kept and loss of each row; cases as in ``apply_quality_rules``."""
     return apply_quality_rules(docs).drop("cleaned")
 
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
-    """The documents kept, with the cleaned text and its length in ``n_chars``."""
-    judged = apply_quality_rules(docs, keep=[c for c in docs.columns if c != "text"]).filter("kept")
+    """The documents kept, with the cleaned text and its length in ``n_chars``.
+
+    Null and empty texts have no words, so their rows go.  All other columns, null ids
+    among them, stay as they are, whatever their names; repeated rows are judged each; an
+    empty table gives an empty result.
+    """
+    numbered = {c: f"__{i}__" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[col(c).alias(n) for c, n in numbered.items()])
+    judged = apply_quality_rules(rows, keep=[n for c, n in numbered.items() if c != "text"], text=numbered["text"]).filter("kept")
     made = {"text": F.col("cleaned"), "n_chars": F.char_length("cleaned").cast("long")}
-    return judged.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    return judged.select(*[made.get(c, F.col(n)).alias(c) for c, n in numbered.items()])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, ship, slices, tokenizer_bytes
+from .common import col, map_texts, ship, slices, tokenizer_bytes
 
 #: Words in the broadcast table; with words of at most MAX_WORD bytes it stays below 3 MB.
 HOT_WORDS = 16_384
@@ -87,7 +87,7 @@ def _merge(a: bytes, b: bytes) -> bytes:
 
 def frequent_words(docs: DataFrame, text: str = "text") -> list[str]:
     """At most HOT_WORDS of the most frequent words of all texts."""
-    rows = docs.select(F.col(text).cast("string").alias("text"))
+    rows = docs.select(col(text).cast("string").alias("text"))
     summaries = rows.mapInArrow(_summary, "summary binary").rdd.map(lambda r: bytes(r[0]))
     if summaries.getNumPartitions() == 0:
         return []
@@ -204,6 +204,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, keep=("doc_id",), text: str =
 
 
 def op1(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
-    sized = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row; cases as in
+    ``count_tokens``."""
+    sized = docs.select(col("doc_id"), col("text"), F.coalesce(F.octet_length(col("text")), F.lit(0)).cast("long").alias("n_bytes"))
     counted = count_tokens(sized, tokenizer, keep=("doc_id", "n_bytes"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
