@@ -23,8 +23,12 @@ from .coerce import digits
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+#: The same as characters.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))  # looks at the ends alone, which a regex doesn't
 
 
 def collapse(c: Column) -> Column:
@@ -120,16 +124,27 @@ def is_boilerplate(c: Column) -> Column:
     return c.rlike(rf"(?i)^{SPACE}*(?:{'|'.join(BOILERPLATE_STARTS)})|{'|'.join(BOILERPLATE_RUNS)}")
 
 
+def count_of(c: Column, characters: str) -> Column:
+    """How many characters of a class a text has: what goes when they go."""
+    return F.char_length(c) - F.char_length(F.regexp_replace(c, f"[{characters}]+", ""))
+
+
 def letters(c: Column) -> Column:
-    return F.regexp_count(c, F.lit("[A-Za-z]"))
+    return count_of(c, "A-Za-z")
 
 
-def is_junk(c: Column) -> Column:
+def signs(c: Column) -> dict[str, Column]:
+    """What both is_junk and text_score ask of a text; a frame that needs both can hold it
+    in columns and hand it to them."""
+    text = F.coalesce(c, F.lit(""))
+    return {"boilerplate": is_boilerplate(text), "navigation": text.rlike(_any_word(NAVIGATION_WORDS)), "letters": letters(text)}
+
+
+def is_junk(c: Column, seen: dict[str, Column] | None = None) -> Column:
     """Translations: nothing, boilerplate, no letters to speak of, or navigation."""
-    n, text = F.char_length(c), F.coalesce(c, F.lit(""))
-    few = (letters(text) < 2) & (n < 40)
-    navigation = text.rlike(_any_word(NAVIGATION_WORDS)) & (n < 80)
-    return c.isNull() | (n < 3) | is_boilerplate(text) | few | navigation | text.rlike(_any_word(CONTENT_WORDS))
+    n, text, seen = F.char_length(c), F.coalesce(c, F.lit("")), seen or signs(c)
+    few = (seen["letters"] < 2) & (n < 40)
+    return c.isNull() | (n < 3) | seen["boilerplate"] | few | (seen["navigation"] & (n < 80)) | text.rlike(_any_word(CONTENT_WORDS))
 
 
 def is_junk_paragraph(c: Column) -> Column:
@@ -139,15 +154,15 @@ def is_junk_paragraph(c: Column) -> Column:
     return (text == "") | phrase | ((letters(text) < 3) & (n < 40)) | ((n < 60) & text.rlike(_any_word(PARAGRAPH_NAVIGATION)))
 
 
-def text_score(c: Column) -> Column:
+def text_score(c: Column, seen: dict[str, Column] | None = None) -> Column:
     """How likely a text is a verse: length, share of lower case, punctuation, less penalties."""
-    n = F.char_length(c).cast("double")
-    lower = F.regexp_count(c, F.lit("[a-z]")) / F.greatest(letters(c), F.lit(1))
+    n, seen = F.char_length(c).cast("double"), seen or signs(c)
+    lower = count_of(c, "a-z") / F.greatest(seen["letters"], F.lit(1))
     # five characters or more, none of them a letter or digit other than A-Z and 0-9
     capitals = (n >= 5) & ~c.rlike(r"[\p{L}\p{N}_&&[^A-Z0-9]]")
-    penalty = F.when(capitals, 5.0).otherwise(0.0) + F.when(c.rlike(_any_word(NAVIGATION_WORDS)), 10.0).otherwise(0.0)
-    penalty = penalty + F.when(is_boilerplate(c), 20.0).otherwise(0.0)
-    marks = F.regexp_count(c, F.lit("[,.;:—-]"))
+    penalty = F.when(capitals, 5.0).otherwise(0.0) + F.when(seen["navigation"], 10.0).otherwise(0.0)
+    penalty = penalty + F.when(seen["boilerplate"], 20.0).otherwise(0.0)
+    marks = count_of(c, ",.;:—-")
     return F.when(F.coalesce(c, F.lit("")) == "", -9999.0).otherwise(n + 2.0 * (lower * 100) - penalty + 0.5 * marks)
 
 
@@ -226,7 +241,7 @@ def wrap(c: Column, width: int = 100) -> Column:
 
 def script_share(c: Column, characters: str = r"\p{IsDevanagari}") -> Column:
     """Share of a text's characters in a script, 0 for empty texts."""
-    return F.coalesce(F.regexp_count(c, F.lit(f"[{characters}]")) / F.nullif(F.char_length(c), F.lit(0)), F.lit(0.0))
+    return F.coalesce(count_of(c, characters) / F.nullif(F.char_length(c), F.lit(0)), F.lit(0.0))
 
 
 def snippet(c: Column, n: int) -> Column:

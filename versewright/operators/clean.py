@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import canonical_int
-from ..functions.text import clean_text, is_junk, text_score
-from ..schema import KEY, one_row
+from ..functions.text import clean_text, is_junk, signs, text_score
+from ..schema import KEY
 
 MIN_LENGTH = 20
 LOW_SCORE, SMALL_GAP = 10.0, 5.0
@@ -18,18 +18,26 @@ def prepare(rows: DataFrame) -> DataFrame:
     return rows.select(*[canonical_int(F.col(k)).alias(k) for k in KEY], clean_text(F.col("translation_text")).alias("translation_text"), "row_idx")
 
 
-def fate(min_length: int = MIN_LENGTH):
+def fate(min_length: int = MIN_LENGTH, seen: dict | None = None):
     """Why a prepared row is dropped: key, junk or short; else 'candidate'."""
     text = F.col("translation_text")
-    return (
-        F.when((F.col("mandala") <= 0) | (F.col("sukta") <= 0), "key").when(is_junk(text), "junk").when(F.char_length(text) < min_length, "short").otherwise("candidate")
-    )
+    short = F.char_length(text) < min_length
+    return F.when((F.col("mandala") <= 0) | (F.col("sukta") <= 0), "key").when(is_junk(text, seen), "junk").when(short, "short").otherwise("candidate")
+
+
+def judge(prepared: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
+    """Prepared rows with ``score``: null for those that are dropped.  What junk and score
+    both ask of a text is found once."""
+    asked = signs(F.col("translation_text"))
+    rows = prepared.withColumns({f"__{k}__": c for k, c in asked.items()})
+    seen = {k: F.col(f"__{k}__") for k in asked}
+    score = F.when(fate(min_length, seen) == "candidate", text_score(F.col("translation_text"), seen))
+    return rows.withColumn("score", score).select(*prepared.columns, "score")
 
 
 def candidates(prepared: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """Rows worth keeping, with their score."""
-    kept = prepared.filter(fate(min_length) == "candidate")
-    return kept.withColumn("score", text_score(F.col("translation_text")))
+    return judge(prepared, min_length).filter(F.col("score").isNotNull())
 
 
 def ranked(scored: DataFrame, key=KEY) -> DataFrame:
@@ -61,11 +69,19 @@ def clean(rows: DataFrame, min_length: int = MIN_LENGTH, low: float = LOW_SCORE)
     return best_per_key(scored).select(*KEY, "translation_text"), review_queue(scored, low=low).select(*KEY, "score", "translation_text")
 
 
-def clean_stats(rows: DataFrame, min_length: int = MIN_LENGTH, key=KEY, low: float = LOW_SCORE, prepared: bool = False) -> DataFrame:
-    """One row of counters.  A key's figures are summed up before the total, so that the
-    rows are grouped once."""
-    ready = (rows if prepared else prepare(rows)).withColumn("fate", fate(min_length))
-    dropped = ready.agg(F.count("*").alias("total_rows"), F.count_if(F.col("fate") != "candidate").alias("dropped_junk"))
-    per_key = ranked(candidates(ready, min_length), key).filter("rank = 1")
-    kept = per_key.agg(F.count("*").alias("kept"), F.count("*").alias("dedup_groups"), F.count_if(ambiguous(low)).alias("ambiguous_groups"))
-    return one_row(dropped, kept).withColumn("total_input_rows", F.col("total_rows"))
+def clean_stats(rows: DataFrame, min_length: int = MIN_LENGTH, key=KEY, low: float = LOW_SCORE, gap: float = SMALL_GAP, prepared: bool = False) -> DataFrame:
+    """One row of counters, in one pass: each text is cleaned and judged once, and what is
+    left of it (its key, whether it is a candidate, its score) is dealt by key."""
+    judged = judge(rows if prepared else prepare(rows), min_length).drop("translation_text")
+    order = Window.partitionBy(*key).orderBy(F.col("score").desc_nulls_last(), "row_idx")
+    turn, second, size = F.row_number().over(order), F.lead("score").over(order), F.count("score").over(Window.partitionBy(*key))
+    best = judged.select("score", turn.alias("rank"), second.alias("second"), size.alias("size"), F.col("score").alias("best"))
+    first = (F.col("rank") == 1) & F.col("score").isNotNull()
+    made = best.agg(
+        F.count("*").alias("total_rows"),
+        F.count_if(F.col("score").isNull()).alias("dropped_junk"),
+        F.count_if(first).alias("kept"),
+        F.count_if(first).alias("dedup_groups"),
+        F.count_if(first & ambiguous(low, gap)).alias("ambiguous_groups"),
+    )
+    return made.withColumn("total_input_rows", F.col("total_rows"))
