@@ -156,7 +156,10 @@ def test_line_dedup(which, request):
     assert bag(line_dedup.op2(df).collect()) == bag(dedup_brute(made))
 
 
-def test_line_dedup_levels_and_repeats(spark):
+@pytest.mark.parametrize("hot", [1, line_dedup.HOT_SHARE])
+def test_line_dedup_levels_and_repeats(spark, monkeypatch, hot):
+    """With a share of 1 no key is hot, so all go through the runs."""
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", hot)
     rng = random.Random(5)
     lines = [f"shared line number {i}" for i in range(40)] + ["short", "", "ÉCOLE normale supérieure", "École normale supérieure", "  SHARED line NUMBER 1\t"]
     made = rows(["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9))) for _ in range(120)])
@@ -197,13 +200,14 @@ def test_line_runs_are_merged_without_exchange_or_sort(spark):
 
 
 def test_line_held_by_most_rows(spark, monkeypatch):
-    """A line of nine documents in ten is looked up in a broadcast table, in its batch and after."""
-    asked, ingest = [], line_dedup.LineRuns.ingest
-    monkeypatch.setattr(line_dedup.LineRuns, "ingest", lambda self, *a: (asked.append(ingest(self, *a)), asked[-1])[1])
+    """A line of nine documents in ten is looked up in a broadcast table."""
+    asked, frequent = [], line_dedup.frequent_keys
+    monkeypatch.setattr(line_dedup, "frequent_keys", lambda *a: (asked.append(frequent(*a)), asked[-1])[1])
     made = rows([("one line that almost every document has\n" * (1 + i % 3) if i % 10 else "") + f"and one of its own, number {i}" for i in range(3000)])
     df = spark.createDataFrame(made, SCHEMA)
     assert bag(line_dedup.op2(df).collect()) == bag(dedup_brute(made))
-    assert len(asked) == line_dedup.BATCHES and "BroadcastHashJoin" in asked[-1]._jdf.queryExecution().executedPlan().toString()
+    key = df.select(F.xxhash64(F.lit("one line that almost every document has")).alias("a")).first().a
+    assert key in {r.a for r in frequent(line_dedup.line_hashes(df), 6000).collect()} and len(asked) == 1
 
 
 @pytest.mark.parametrize("query", [line_dedup.op2, line_dedup.deduped_documents])

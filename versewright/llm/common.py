@@ -65,10 +65,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def sorted_buckets(spark: SparkSession):
+def sorted_buckets(spark: SparkSession, buckets: int | None = None):
     """While plans are made in here, bucketed tables count as partitioned and sorted by
-    their keys, so joins and merges of them need neither an exchange nor a sort."""
+    their keys, so joins and merges of them need neither an exchange nor a sort; with
+    ``buckets``, groupings make so many partitions, so their results are in buckets already."""
     wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    if buckets:
+        wanted["spark.sql.shuffle.partitions"] = str(buckets)
     before = {k: spark.conf.get(k) for k in wanted}
     try:
         for k, v in wanted.items():

@@ -4,10 +4,10 @@ A store keeps the keys of all lines seen so far as runs: tables of (key, owner),
 buckets of the key's hash and sorted by key.  A batch of documents
 
 1. gets its distinct keys (grouped, so a key of very many lines is summed up before
-   the shuffle) as a table sorted the same way,
-2. merge-anti-joins them with the runs, one after the other, without any exchange or
-   sort: what is left is new and becomes a run of level 0, its owner the smallest
-   document of the batch that holds it,
+   the shuffle),
+2. merge-anti-joins them with the runs, one after the other; the runs need neither an
+   exchange nor a sort for it.  What is left is new and becomes a run of level 0, its
+   owner the smallest document of the batch that holds it,
 3. loses the lines whose key the new run does not give to their document.
 
 When a level holds FANOUT runs they are merged, bucket by bucket, into one run of the
@@ -15,8 +15,8 @@ next, so a store of n batches has O(log n) runs.  Everything is DataFrame operat
 Runs are written to the shared folder and never recomputed.
 
 A line that very many documents hold would send all its places to one task in step 3.
-Keys with at least one in HOT_SHARE of a batch's lines are so looked up in a broadcast
-table, of HOT_SHARE rows at most.
+Keys with at least one in HOT_SHARE of all lines, so HOT_SHARE keys at most, are looked
+up in a broadcast table of their owners and take no part in the runs.
 
 Keys are compared by two 64-bit hashes with different seeds; texts never leave the
 two scans that cut them into lines.
@@ -40,6 +40,8 @@ FANOUT = 4
 #: number doesn't grow with the table: each batch reads all runs before it, so that
 #: would make the work quadratic.
 BATCHES = FANOUT + 2
+#: Lines of a batch for each bucket, and the bounds of the number of buckets.
+BUCKET_LINES, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 8, 50_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,12 +69,14 @@ def line_hashes(docs: DataFrame, text: str = "text", min_key: int = MIN_KEY) ->
 
 class LineRuns:
     """The levelled store.  Batches must come in ascending order of doc_id if the
-    smallest document is to own a line that several batches hold."""
+    smallest document is to own a line that several batches hold.  lines: how many a
+    batch has or so, which sets the number of buckets."""
 
-    def __init__(self, scratch: Scratch, fanout: int = FANOUT):
+    def __init__(self, scratch: Scratch, fanout: int = FANOUT, lines: int = 0):
         self.scratch, self.fanout = scratch, fanout
-        # as many as a grouping makes partitions, so its result is in buckets already
-        self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-lines // BUCKET_LINES)))
+        with sorted_buckets(scratch.spark, wanted):
+            self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
         self.spent: list[DataFrame] = []
 
@@ -85,26 +89,17 @@ class LineRuns:
             held = held.join(run.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         return held
 
-    def ingest(self, lines: DataFrame, total: int | None = None) -> DataFrame:
+    def ingest(self, lines: DataFrame) -> DataFrame:
         """Rows (doc_id, version, pos) of the batch's lines to drop; adds the batch's run.
-        They are not computed yet: save them within ``sorted_buckets`` before ``clear``.
-        total: the number of lines, where it is known."""
-        scratch, total = self.scratch, lines.count() if total is None else total
-        grouped = lines.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-        with sorted_buckets(scratch.spark):
-            held = scratch.save_buckets(grouped, "held", ["a", "b"], self.buckets)
-            run = scratch.save_buckets(self.fresh(held.select("a", "b", "owner")), "run-0", ["a", "b"], self.buckets)
-            frequent = held.filter(F.col("n") >= max(2, total / HOT_SHARE)).select("a", "b")  # HOT_SHARE rows at most
-            hot = frequent.join(run.hint("merge"), ["a", "b"], "left").select("a", "b", "owner")
-            of_hot = lines.join(F.broadcast(hot), ["a", "b"]).filter("owner is null or doc_id > owner")
-            rest = lines.join(F.broadcast(frequent), ["a", "b"], "left_anti")
+        They are not computed yet: save them within ``sorted_buckets`` before ``clear``."""
+        with sorted_buckets(self.scratch.spark, self.buckets):
+            held = lines.groupBy("a", "b").agg(F.min("doc_id").alias("owner"))
+            run = self.scratch.save_buckets(self.fresh(held), "run-0", ["a", "b"], self.buckets)
             keys = run.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "owner").hint("merge")
             # the owner is the smallest, so a line that its document doesn't own has a larger id
-            lost = rest.join(keys, (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb")) & (F.col("doc_id") <= F.col("owner")), "left_anti")
-            self.spent.append(held)
+            lost = lines.join(keys, (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb")) & (F.col("doc_id") <= F.col("owner")), "left_anti")
             self._add(run)
-        place = ["doc_id", "version", "pos"]
-        return of_hot.select(*place).unionByName(lost.select(*place))
+        return lost.select("doc_id", "version", "pos")
 
     def clear(self) -> None:
         """Free what only the batches so far needed."""
@@ -133,10 +128,17 @@ class LineRuns:
             at += 1
 
     def _merged(self, level: list[DataFrame]) -> DataFrame:
-        whole = reduce(DataFrame.unionByName, level)
+        whole = reduce(DataFrame.unionByName, level)  # of the same partitions, so nothing moves
         return whole.repartition(self.buckets, "a", "b").sortWithinPartitions("a", "b")
 
 
+def frequent_keys(hashes: DataFrame, total: int) -> DataFrame:
+    """(a, b, owner) of the keys that at least one in HOT_SHARE of all lines has: HOT_SHARE
+    rows at most."""
+    counted = hashes.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+    return counted.filter(F.col("n") >= max(2, total / HOT_SHARE)).drop("n")
+
+
 def lines_to_drop(docs: DataFrame, scratch: Scratch, text: str = "text", min_key: int = MIN_KEY, batches: int = BATCHES) -> DataFrame:
     """(doc_id, version, pos) of all lines that lose against a smaller doc_id."""
     cuts = [k / batches for k in range(1, batches)]
@@ -144,14 +146,18 @@ def lines_to_drop(docs: DataFrame, scratch: Scratch, text: str = "text", min_key
     batch = sum((F.when(F.col("doc_id") > e, 1).otherwise(0) for e in edges), F.lit(0))
     hashes = scratch.save(line_hashes(docs, text, min_key).withColumn("batch", batch), "lines", by="batch")
     sizes = {r["batch"]: r["count"] for r in hashes.groupBy("batch").count().collect()}
-    store = LineRuns(scratch)
-    drops = [store.ingest(hashes.filter(F.col("batch") == at).drop("batch"), sizes[at]) for at in sorted(sizes)]
-    if not drops:
+    if not sizes:
         return hashes.select("doc_id", "version", "pos")
-    with sorted_buckets(docs.sparkSession):
-        saved = scratch.save(reduce(DataFrame.unionByName, drops), "drops")
+    hot = scratch.save(frequent_keys(hashes, sum(sizes.values())), "hot")
+    place = ["doc_id", "version", "pos"]
+    drops = [hashes.join(F.broadcast(hot), ["a", "b"]).filter("doc_id > owner").select(*place)]
+    rest = hashes.join(F.broadcast(hot), ["a", "b"], "left_anti")
+    store = LineRuns(scratch, lines=max(sizes.values()))
+    drops += [store.ingest(rest.filter(F.col("batch") == at).drop("batch")) for at in sorted(sizes)]
+    with sorted_buckets(docs.sparkSession, store.buckets):
+        saved = scratch.save(reduce(DataFrame.unionByName, drops).coalesce(store.buckets), "drops")
     store.clear()
-    scratch.drop(hashes, *store.runs())
+    scratch.drop(hashes, hot, *store.runs())
     return saved
 
 
