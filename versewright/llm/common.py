@@ -82,6 +82,10 @@ def sorted_buckets(spark: SparkSession, buckets: int | None = None):
             spark.conf.set(k, v)
 
 
+#: Rows of small tables for each file, and files at least.
+FILE_ROWS, LEAST_FILES = 250_000, 8
+
+
 class Scratch:
     """Tables of one run in the shared folder.
 
@@ -100,9 +104,12 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """by: a column whose values get folders of their own."""
+    def save(self, df: DataFrame, name: str, by: str | None = None, rows: int | None = None) -> DataFrame:
+        """by: a column whose values get folders of their own.  rows: about how many there are
+        at most; few rows are written by few tasks, so many partitions don't make many files."""
         path = self.path(name)
+        if rows is not None:
+            df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
         df.write.parquet(path, partitionBy=by)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._versewright_path = path

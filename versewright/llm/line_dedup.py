@@ -34,12 +34,12 @@ from .common import HOT_SHARE, Scratch, col, own, sorted_buckets
 #: White space stripped from the ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
 MIN_KEY = 10
-FANOUT = 4
+FANOUT = 2
 #: Batches that ``dedup_lines`` cuts a whole table into, by ranges of doc_id: more than
-#: FANOUT, so the runs are compacted and the last batch meets those of two levels.  The
+#: FANOUT, so the runs are compacted and the last batch meets the compacted one.  The
 #: number doesn't grow with the table: each batch reads all runs before it, so that
 #: would make the work quadratic.
-BATCHES = FANOUT + 2
+BATCHES = FANOUT + 1
 #: Lines of a batch for each bucket, and the bounds of the number of buckets.
 BUCKET_LINES, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 8, 50_000
 
@@ -148,14 +148,15 @@ def lines_to_drop(docs: DataFrame, scratch: Scratch, text: str = "text", min_key
     sizes = {r["batch"]: r["count"] for r in hashes.groupBy("batch").count().collect()}
     if not sizes:
         return hashes.select("doc_id", "version", "pos")
-    hot = scratch.save(frequent_keys(hashes, sum(sizes.values())), "hot")
+    total = sum(sizes.values())
+    hot = scratch.save(frequent_keys(hashes, total), "hot", rows=HOT_SHARE)
     place = ["doc_id", "version", "pos"]
     drops = [hashes.join(F.broadcast(hot), ["a", "b"]).filter("doc_id > owner").select(*place)]
     rest = hashes.join(F.broadcast(hot), ["a", "b"], "left_anti")
     store = LineRuns(scratch, lines=max(sizes.values()))
     drops += [store.ingest(rest.filter(F.col("batch") == at).drop("batch")) for at in sorted(sizes)]
     with sorted_buckets(docs.sparkSession, store.buckets):
-        saved = scratch.save(reduce(DataFrame.unionByName, drops).coalesce(store.buckets), "drops")
+        saved = scratch.save(reduce(DataFrame.unionByName, drops), "drops", rows=total)
     store.clear()
     scratch.drop(hashes, hot, *store.runs())
     return saved

@@ -251,12 +251,13 @@ def link_forest(points: DataFrame, scratch: Scratch, distance: int = DISTANCE, e
     points that a cell may have before it is cut.  None changes what is connected.
     """
     ship(points.sparkSession)
-    equal = groups_equal(points.count(), distance, tile) if equal is None else equal
+    count = points.count()
+    equal = groups_equal(count, distance, tile) if equal is None else equal
     grids = [_signed(sum(some)) for some in combinations(group_masks(distance + equal), equal)]
     e = embedding(F.col("fp"))
     cells = F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), e.bitwiseAND(F.lit(m)).alias("cell")) for t, m in enumerate(grids)])
     rows = points.select("fp", F.explode(cells).alias("c")).select("c.t", "c.cell", "fp")
-    large = scratch.save(rows.groupBy("t", "cell").count().filter(F.col("count") > tile), "large-cells")
+    large = scratch.save(rows.groupBy("t", "cell").count().filter(F.col("count") > tile), "large-cells", rows=len(grids) * count // tile)
     many = large.count()
     if not many:
         rows = rows.select("t", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
@@ -274,28 +275,29 @@ def link_forest(points: DataFrame, scratch: Scratch, distance: int = DISTANCE, e
 # -- components ----------------------------------------------------------------------
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, most: int | None = None) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (u, v); nodes have the same root if connected.
+    most: about how many nodes there are at most, where it is known.
 
     Each round every node points to the first of itself and its neighbours in an order
     that changes with the round, the pointers are followed once more, and the edges are
     drawn anew between what they point to.  The rows shrink by a constant factor a
     round at least in expectation, whatever the shape of the components.
     """
-    e = scratch.save(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    e = scratch.save(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges", rows=most)
     maps, turn = [], 0
-    while not e.isEmpty():
+    while n := e.count():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         order = (lambda c: F.col(c)) if turn % 2 == 0 else (lambda c, t=turn: F.xxhash64(F.lit(t), F.col(c)))
         first = both.groupBy("u").agg(F.min(F.struct(order("v").alias("o"), F.col("v").alias("x"))).alias("m"))
         own = F.struct(order("u").alias("o"), F.col("u").alias("x"))
-        hop = scratch.save(first.select("u", F.least(F.col("m"), own)["x"].alias("p")), f"hop-{turn}")
+        hop = scratch.save(first.select("u", F.least(F.col("m"), own)["x"].alias("p")), f"hop-{turn}", rows=2 * n)
         again = hop.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        step = scratch.save(hop.join(again, "p").select("u", F.col("q").alias("p")), f"step-{turn}")
+        step = scratch.save(hop.join(again, "p").select("u", F.col("q").alias("p")), f"step-{turn}", rows=2 * n)
         left = step.select("u", F.col("p").alias("a"))
         right = step.select(F.col("u").alias("v"), F.col("p").alias("b"))
         drawn = e.join(left, "u").join(right, "v").filter("a <> b")
-        e = scratch.save(drawn.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), f"edges-{turn}")
+        e = scratch.save(drawn.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), f"edges-{turn}", rows=n)
         maps.append(step)
         turn += 1
     if not maps:
@@ -304,7 +306,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     made = maps[-1].select(F.col("u").alias("node"), F.col("p").alias("root"))
     for step in reversed(maps[:-1]):
         made = step.join(made.withColumnRenamed("node", "p"), "p", "left").select(F.col("u").alias("node"), F.coalesce("root", "p").alias("root"))
-        made = scratch.save(made, "map")
+        made = scratch.save(made, "map", rows=most)
     return made
 
 
@@ -319,16 +321,18 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, keep=("doc_id",), text: s
     or component_id.
     """
     marked = scratch.save(fingerprints(docs, keep, text, size), "fingerprints")
-    points = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "points")
-    rooted = scratch.save(components(link_forest(points.select("fp"), scratch, distance), scratch), "roots")
-    linked = scratch.save(points.join(rooted, points["fp"] == rooted["node"]).select("fp", "root", "least", "n"), "linked")
-    least = scratch.save(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("points")), "least")
+    rows = marked.count()
+    points = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "points", rows=rows)
+    most = points.count()
+    rooted = scratch.save(components(link_forest(points.select("fp"), scratch, distance), scratch, most), "roots", rows=most)
+    linked = scratch.save(points.join(rooted, points["fp"] == rooted["node"]).select("fp", "root", "least", "n"), "linked", rows=most)
+    least = scratch.save(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("points")), "least", rows=most)
     # one component may hold most points, and one fingerprint most rows
     wide = least.filter(F.col("points") >= max(2, linked.count() / HOT_SHARE)).drop("points")
     named = join_hot(linked.select("fp", "root", "n"), least.drop("points"), "root", wide)
     alone = points.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), "n", F.col("least").alias("component_id"))
-    class_of = scratch.save(named.unionByName(alone), "classes")
-    hot = class_of.filter(F.col("n") >= max(2, marked.count() / HOT_SHARE)).drop("n")
+    class_of = scratch.save(named.unionByName(alone), "classes", rows=most)
+    hot = class_of.filter(F.col("n") >= max(2, rows / HOT_SHARE)).drop("n")
     return join_hot(marked, class_of.drop("n"), "fp", hot).select(*[col(c) for c in keep], "fp", "root", "component_id")
 
 
@@ -350,12 +354,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.select(col("doc_id"), col("text"), version.alias("version"))
     found = near_duplicates(rows, scratch, ("doc_id", "version"))
     i, v = own("__id__", docs), own("__version__", docs)
-    seen = scratch.save(found.groupBy("root", F.col("doc_id").alias(i), F.col("version").alias(v)).agg(F.count("*").alias("n")), "seen")
+    seen = found.groupBy("root", F.col("doc_id").alias(i), F.col("version").alias(v)).agg(F.count("*").alias("n"))
+    seen = scratch.save(seen, "seen", rows=(many := docs.count()))
     first = F.min(F.struct(F.col(i).isNull().alias("none"), i, v)).alias("m")
     chosen = seen.groupBy("root").agg(first).select(F.col(f"m.{i}").alias(i), F.col(f"m.{v}").alias(v), F.lit(True).alias("stays"))
     same = [F.col(f"seen.{c}").eqNullSafe(F.col(f"chosen.{c}")) for c in (i, v)]
     judged = seen.alias("seen").join(chosen.alias("chosen"), same[0] & same[1], "left")
-    judged = scratch.save(judged.select(f"seen.{i}", f"seen.{v}", "n", F.coalesce("stays", F.lit(False)).alias("stays")), "judged")
+    judged = scratch.save(judged.select(f"seen.{i}", f"seen.{v}", "n", F.coalesce("stays", F.lit(False)).alias("stays")), "judged", rows=many)
     is_row = col("doc_id").eqNullSafe(F.col(i)) & (version == F.col(v))
     kept = docs.join(judged.filter("not stays or n > 1").select(i, v), is_row, "left_anti")
     repeated = judged.filter("stays and n > 1").select(i, v)
