@@ -370,10 +370,15 @@ def test_quoted_csv_text_and_paths(spark, tmp_path):
     assert readers.first_existing(spark, str(tmp_path / "none"), str(tmp_path / "t.txt")).endswith("t.txt")
     with pytest.raises(FileNotFoundError):
         readers.first_existing(spark, str(tmp_path / "none"))
-    kept = readers.Cached(spark.range(3))
-    assert kept.df.count() == 3 and kept.df.is_cached
+    now = [0.0]
+    kept = readers.Cached(frame := spark.range(3), seconds=10, clock=lambda: now[0])
+    assert kept.df.count() == 3 and frame.is_cached
     kept.invalidate()
-    assert not kept.df.is_cached
+    assert not frame.is_cached
+    kept.df.count()
+    since = kept._since
+    now[0] = 11.0
+    assert kept.df.count() == 3 and kept._since == 11.0 > since
 
 
 def test_sinks(spark, tmp_path):

@@ -84,3 +84,18 @@ def metadata(df: DataFrame, *columns: str) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(column)
+
+
+def totals(df: DataFrame, text: str) -> DataFrame:
+    """One row: documents, characters, UTF-8 bytes and distinct texts."""
+    return df.agg(F.count("*").alias("n_docs"), F.sum(F.char_length(text)).alias("n_chars"), F.sum(F.octet_length(text)).alias("n_bytes"), F.count_distinct(text).alias("n_texts"))
+
+
+def key_counts(df: DataFrame, key=KEY) -> DataFrame:
+    """One row: rows and distinct keys."""
+    return df.agg(F.count("*").alias("rows"), F.count_distinct(*key).alias("keys"))
+
+
+def first_value(df: DataFrame, column: str) -> DataFrame:
+    """The smallest value of a column."""
+    return df.agg(F.min(column).alias(column))

@@ -63,16 +63,16 @@ def review_queue(scored: DataFrame, key=KEY, low: float = LOW_SCORE, gap: float
     return ranked(scored, key).filter(ambiguous(low, gap)).drop("rank", "size", "best", "second")
 
 
-def clean(rows: DataFrame, min_length: int = MIN_LENGTH, low: float = LOW_SCORE) -> tuple[DataFrame, DataFrame]:
-    """(cleaned, review) of raw translation rows."""
-    scored = candidates(prepare(rows), min_length)
+def clean(rows: DataFrame, min_length: int = MIN_LENGTH, low: float = LOW_SCORE, judged: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cleaned, review) of raw translation rows, or of judged ones."""
+    scored = rows.filter(F.col("score").isNotNull()) if judged else candidates(prepare(rows), min_length)
     return best_per_key(scored).select(*KEY, "translation_text"), review_queue(scored, low=low).select(*KEY, "score", "translation_text")
 
 
-def clean_stats(rows: DataFrame, min_length: int = MIN_LENGTH, key=KEY, low: float = LOW_SCORE, gap: float = SMALL_GAP, prepared: bool = False) -> DataFrame:
-    """One row of counters, in one pass: each text is cleaned and judged once, and what is
-    left of it (its key, whether it is a candidate, its score) is dealt by key."""
-    judged = judge(rows if prepared else prepare(rows), min_length).drop("translation_text")
+def clean_stats(rows: DataFrame, min_length: int = MIN_LENGTH, key=KEY, low: float = LOW_SCORE, gap: float = SMALL_GAP, judged: bool = False) -> DataFrame:
+    """One row of counters, in one pass: each text is cleaned and judged once (or was
+    before), and what is left of it (its key and its score) is dealt by key."""
+    judged = (rows if judged else judge(prepare(rows), min_length)).drop("translation_text")
     order = Window.partitionBy(*key).orderBy(F.col("score").desc_nulls_last(), "row_idx")
     turn, second, size = F.row_number().over(order), F.lead("score").over(order), F.count("score").over(Window.partitionBy(*key))
     best = judged.select("score", turn.alias("rank"), second.alias("second"), size.alias("size"), F.col("score").alias("best"))

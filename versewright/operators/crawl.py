@@ -31,10 +31,10 @@ def fetched(status: DataFrame, stops: DataFrame) -> DataFrame:
     return rows.filter((F.col("status") == 200) & (F.col("stop_at").isNull() | (F.col("n") < F.col("stop_at")))).drop("__book__", "stop_at")
 
 
-def page_texts(pages: DataFrame, number: str = "page_id", html: str = "html", stripped: bool = True) -> DataFrame:
-    """(number, title, body, framed) of each page."""
+def page_texts(pages: DataFrame, number: str = "page_id", html: str = "html", stripped: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``pages[keep]`` with (number, title, body, framed) of each page."""
     title = html_title(F.col(html), F.format_string("Hymn %d", F.col(number)))
-    rows = pages.select(number, title.alias("title"), F.array_join(text_lines(html_text(F.col(html)), 2, stripped), "\n").alias("body"))
+    rows = pages.select(*keep, number, title.alias("title"), F.array_join(text_lines(html_text(F.col(html)), 2, stripped), "\n").alias("body"))
     return rows.withColumn("framed", framed(F.col(number), F.col("title"), F.col("body")))
 
 

@@ -91,9 +91,9 @@ def stanzas(body: Column, metre: Column | None = None, pada_separator: str = DAN
     # splitting is linear; a lazy match of text and marker would rescan the tail from every character
     marker = r"॥\p{Nd}+॥"
     numbers = F.regexp_extract_all(body, F.lit(r"॥(\p{Nd}+)॥"), 1)
-    texts = F.slice(F.split(body, marker), F.lit(1), F.size(numbers))
+    texts = F.transform(F.slice(F.split(body, marker), F.lit(1), F.size(numbers)), tidy)  # each text once
     made = lambda n, t: F.struct(n.alias("num"), t.alias("sanskrit"), padas(t, metre, pada_separator).alias("padas"))
-    numbered = F.zip_with(texts, numbers, lambda t, n: made(digits(n).cast("int"), tidy(t)))
+    numbered = F.zip_with(texts, numbers, lambda t, n: made(digits(n).cast("int"), t))
     return F.when(F.coalesce(body, F.lit("")) == "", F.array().cast(_STANZAS)).when(F.size(texts) > 0, numbered).otherwise(blank_line_stanzas(body, pada_separator))
 
 
@@ -101,8 +101,8 @@ _STANZAS = "array<struct<num: int, sanskrit: string, padas: array<string>>>"
 
 
 def blank_line_stanzas(body: Column, pada_separator: str = DANDA, most: int = 10) -> Column:
-    pieces = F.slice(F.split(body, rf"\n{SPACE}*\n"), 1, most)
-    return F.transform(pieces, lambda t, i: F.struct((i + 1).cast("int").alias("num"), tidy(t).alias("sanskrit"), padas(tidy(t), None, pada_separator).alias("padas")))
+    pieces = F.transform(F.slice(F.split(body, rf"\n{SPACE}*\n"), 1, most), tidy)  # each piece once
+    return F.transform(pieces, lambda t, i: F.struct((i + 1).cast("int").alias("num"), t.alias("sanskrit"), padas(t, None, pada_separator).alias("padas")))
 
 
 def missing_notes(deity: Column, rishi: Column, metre: Column) -> Column:
@@ -178,12 +178,15 @@ def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def parse_summary(verses: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """One row: total_records, by_mandala (map) and the ids met more than once (sorted) in
-    ``before``, the stanzas that the verses were chosen from."""
+def parse_summary(verses: DataFrame, before: DataFrame | None = None, listed: int = 1_000) -> DataFrame:
+    """One row: total_records, by_mandala (map), the number of ids met more than once in
+    ``before``, the stanzas that the verses were chosen from, and the first of those ids in
+    order (``duplicate_ids`` has all)."""
     by = coverage(verses).agg(
         F.sum("verses").alias("total_records"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("mandala").cast("string").alias("k"), F.struct("verses", F.round("deity_pct", 2).alias("deity_pct")).alias("v"))))).alias("by_mandala"),
     )
-    twice = duplicate_ids(before if before is not None else verses).agg(F.array_sort(F.collect_list("id")).alias("duplicates"))
-    return one_row(by, twice)
+    twice = duplicate_ids(before if before is not None else verses)
+    many = twice.agg(F.count("*").alias("duplicate_count"))
+    first = twice.orderBy("id").limit(listed).agg(F.array_sort(F.collect_list("id")).alias("duplicates"))
+    return one_row(by, many, first)

@@ -10,15 +10,20 @@ from ..functions.text import SPACE, correct, strip
 from .parse import keep_first
 
 MIN_TEXT = 10
-NUMBERED = rf"(?s)(\p{{Nd}}+){SPACE}+(.*?)(?={SPACE}+\p{{Nd}}+{SPACE}+|$)"
+FIRST = rf"(?s)^.*?(\p{{Nd}}+){SPACE}+(.*)$"
+NEXT = rf"{SPACE}+(\p{{Nd}}+){SPACE}+"
 
 
 def numbered_parts(text: Column) -> Column:
     """array<struct<num, text>>: 'number text' up to the next number between spaces.
-    Text before the first number is left out."""
-    numbers = F.regexp_extract_all(text, F.lit(NUMBERED), 1)
-    texts = F.regexp_extract_all(text, F.lit(NUMBERED), 2)
-    return F.zip_with(numbers, texts, lambda n, t: F.struct(digits(n).try_cast("int").alias("num"), strip(t).alias("text")))
+    Text before the first number is left out.
+
+    What follows the first number is split at the others, which is linear; a lazy match
+    with a look-ahead would try it at every character."""
+    rest = F.regexp_extract(text, FIRST, 2)
+    numbers = F.concat(F.array(F.regexp_extract(text, FIRST, 1)), F.regexp_extract_all(rest, F.lit(NEXT), 1))
+    made = F.zip_with(numbers, F.split(rest, NEXT), lambda n, t: F.struct(digits(n).try_cast("int").alias("num"), strip(t).alias("text")))
+    return F.when(text.rlike(rf"\p{{Nd}}{SPACE}"), made)
 
 
 def split_verses(rows: DataFrame, modernize: bool = True, min_text: int = MIN_TEXT, whole_words: bool = False) -> DataFrame:
@@ -30,6 +35,11 @@ def split_verses(rows: DataFrame, modernize: bool = True, min_text: int = MIN_TE
     return keep_first(made, ["mandala", "sukta", "verse_index"], [F.col("row_idx"), F.col("part")]).drop("row_idx", "part")
 
 
+def preview(made: DataFrame, n: int = 5, width: int = 160) -> DataFrame:
+    """The first n of the split verses in order, cut to width characters."""
+    return made.orderBy("mandala", "sukta", "verse_index").limit(n).withColumn("translation_text", F.substring("translation_text", 1, width))
+
+
 def long_share(rows: DataFrame, min_length: int = 20) -> DataFrame:
     """One row: percentage of texts longer than min_length."""
     return rows.agg((F.avg((F.char_length("translation_text") > min_length).cast("int")) * 100).alias("coverage_pct"))

@@ -27,10 +27,14 @@ def query(sql: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more_queries  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more_queries  # noqa: F401
+
     return dict(_sql)
 
 
@@ -64,7 +68,7 @@ def value_counts(spark, sf):
 
 @query("SELECT count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars, sum(strlen(text))::BIGINT AS n_bytes, count(DISTINCT text) AS n_texts FROM documents")
 def dataset_totals(spark, sf):
-    return table(spark, sf, "documents").agg(F.count("*").alias("n_docs"), F.sum(F.char_length("text")).alias("n_chars"), F.sum(F.octet_length("text")).alias("n_bytes"), F.count_distinct("text").alias("n_texts"))
+    return browse.totals(table(spark, sf, "documents"), "text")
 
 
 @query("SELECT source, count(*) AS pages, sum(length(text))::BIGINT AS characters, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
@@ -122,10 +126,10 @@ def deity_search(spark, sf):
     return browse.search(verses(spark, sf), deity="^U.ER$").select("id")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), 'lic[a-z]+ch', 'i') OR regexp_matches(coalesce(source, ''), 'SRC1.', 'i')")
+@query("SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), 'lic[a-z]+ch|SRC1.', 'i') OR regexp_matches(coalesce(source, ''), 'lic[a-z]+ch|SRC1.', 'i')")
 def text_search_or(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("sanskrit"), F.col("source").alias("translation"))
-    return browse.search(rows, text="lic[a-z]+ch").unionByName(browse.search(rows, text="SRC1.")).select("doc_id").distinct()
+    return browse.search(rows, text="lic[a-z]+ch|SRC1.").select("doc_id")
 
 
 @query(_with(V_SQL) + "SELECT id, sanskrit FROM V ORDER BY mandala, sukta, verse_index LIMIT 1 OFFSET 17")
@@ -155,7 +159,7 @@ def first_verse(spark, sf):
 
 @query(_with(V_SQL) + "SELECT min(mandala) AS mandala FROM V")
 def first_mandala(spark, sf):
-    return verses(spark, sf).agg(F.min("mandala").alias("mandala"))
+    return browse.first_value(verses(spark, sf), "mandala")
 
 
 @query(_with(V_SQL) + "SELECT printf('M%d S%d V%d', mandala, sukta, verse_index) AS label, mandala, sukta, verse_index, deity, translation FROM V")
@@ -576,7 +580,7 @@ def unmatched_examples(spark, sf):
 
 @query(_merge_sql(False, True) + "SELECT mandala, sukta, verse_index, translation_text FROM Z")
 def residual_unmatched(spark, sf):
-    return merge.residual_unmatched(_merged(spark, sf, False, True), translations(spark, sf), True).drop("position")
+    return merge.residual_unmatched(_merged(spark, sf, False, True), translations(spark, sf), True, verses(spark, sf)).drop("position")
 
 
 @query(
@@ -588,7 +592,7 @@ def residual_unmatched(spark, sf):
   (SELECT count(*) FROM D WHERE r = 1) AS translation_keys, (SELECT count(*) FROM U) AS unmatched_translation_keys, (SELECT count(*) FROM Z) AS final_unmatched_translation_keys FROM Y"""
 )
 def merge_summary(spark, sf):
-    return merge.merge_summary(_merged(spark, sf, False, True), translations(spark, sf), True)
+    return merge.merge_summary(_merged(spark, sf, False, True), translations(spark, sf), True, verses(spark, sf))
 
 
 @query(
@@ -618,14 +622,6 @@ def code_map(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", parse.mapped(F.col("role"), {"user": "seeker", "assistant": "sage"}).alias("name"))
 
 
-@query("SELECT d.doc_id, l.quality, concat_ws(';', CASE WHEN l.doc_id IS NULL THEN 'griffith_missing' ELSE 'griffith_merged' END) AS notes FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
-def label_merge(spark, sf):
-    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("l_id"), "quality")
-    rows = table(spark, sf, "documents").select("doc_id").join(labels, F.col("doc_id") == F.col("l_id"), "left")
-    tag = F.when(F.col("l_id").isNull(), merge.MISSING).otherwise(merge.MERGED)
-    return rows.select("doc_id", "quality", merge.append_tag(F.lit(None).cast("string"), tag).alias("notes"))
-
-
 # -- pages ---------------------------------------------------------------------------
 
 _BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '<[^>]+>', '', 'g')"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,31 +27,60 @@ JSON_NAMES = {
 CORRUPT = "_corrupt_record"
 
 
+_FILE, _BLOCK, _PLACE = "__file__", "__block__", "__place__"
+_PLACE_BITS = 33
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """A frame straight from a reader with each row's file (a hash), block of the file and
+    place in its partition, which rises within a block."""
+    file, block = F.xxhash64("_metadata.file_path"), F.col("_metadata.file_block_start")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return df.select("*", file.alias(_FILE), block.alias(_BLOCK), place.alias(_PLACE))
+
+
 def with_row_index(df: DataFrame) -> DataFrame:
-    """row_idx by (file, place in the file): rising in input order, with gaps.
+    """row_idx by (path of the file, place in the file): rising in input order, with gaps.
+    df: straight from a reader.
+
+    Spark packs blocks of files into partitions by size, so the number of a partition tells
+    nothing; a small table ranks the blocks by path and offset instead.  No row has to pass
+    a single task, only a row for each block of some 100 MB."""
+    blocks = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).distinct()
+    rank = (F.row_number().over(Window.orderBy("path", "start")) - 1).cast("bigint")
+    ranked = blocks.select(F.xxhash64("path").alias(_FILE), F.col("start").alias(_BLOCK), rank.alias("__rank__"))  # 24 bytes a block
+    rows = _placed(df).join(F.broadcast(ranked), [_FILE, _BLOCK])
+    row_idx = F.shiftleft("__rank__", _PLACE_BITS) + F.col(_PLACE)
+    return rows.withColumn("row_idx", row_idx).drop(_FILE, _BLOCK, _PLACE, "__rank__")
+
 
-    Spark numbers the rows of a partition in order and partitions of a file in order of
-    their offset, so no row has to pass a single task."""
-    return df.withColumn("row_idx", F.monotonically_increasing_id())
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, line_no, value) of text files, lines from 1."""
+    rows = _placed(spark.read.text(path).select("value", "_metadata", F.col("_metadata.file_path").alias("source_file")))
+    blocks = rows.groupBy("source_file", _BLOCK).agg(F.count("*").alias("rows"), F.min(_PLACE).alias("first"))
+    before = Window.partitionBy("source_file").orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("source_file", _BLOCK, (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return rows.join(starts, ["source_file", _BLOCK]).select("source_file", (F.col(_PLACE) + F.col("shift")).alias("line_no"), "value")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, line_no, value) of the lines that are neither blank nor JSON objects."""
+    rows = numbered_lines(spark, path).filter(F.trim("value") != "")
+    return rows.filter(F.try_parse_json("value").isNull() | ~F.ltrim("value").startswith("{"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = VERSE, strict: bool = False) -> DataFrame:
     """One record a line; blank lines don't count.  Tolerant: bad bytes are replaced and
-    lines that still don't parse are kept in _corrupt_record.  Strict: they raise."""
+    lines that still don't parse are kept in _corrupt_record.  Strict: the first of those
+    raises here, with its file and number."""
     if strict:
-        return with_row_index(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
-    lines = spark.read.text(path)
-    rows = lines.select(F.make_valid_utf8("value").alias("value")).filter(F.trim("value") != "")
+        bad = bad_lines(spark, path).orderBy("source_file", "line_no").first()
+        if bad:
+            raise ValueError(f"{bad['source_file']}, line {bad['line_no']}: no JSON object: {bad['value'][:80]!r}")
+    lines = with_row_index(spark.read.text(path))
+    rows = lines.select(F.make_valid_utf8("value").alias("value"), "row_idx").filter(F.trim("value") != "")
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
-    parsed = rows.select(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
-    return with_row_index(parsed)
-
-
-def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of the lines of small files that are no JSON object."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "value"))
-    rows = rows.filter(F.trim("value") != "")
-    return rows.filter(F.try_parse_json("value").isNull()).select((F.col("pos") + 1).alias("line_no"), "value")
+    return rows.select(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"), "row_idx").select("r.*", "row_idx")
 
 
 def _named(df: DataFrame, names: dict, text: str) -> DataFrame:
@@ -86,7 +117,7 @@ def translations_frame(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, empty cells kept.  Headers match without regard to case, else
     by their first three letters; the text is the last column where none matches."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\x00").csv(path)
-    raw = with_row_index(raw.na.fill(""))
+    raw = with_row_index(raw).na.fill("")
     columns = [c for c in raw.columns if c != "row_idx"]
 
     def source(name: str) -> str | None:
@@ -113,11 +144,11 @@ def raw_pages(spark: SparkSession, path: str) -> DataFrame:
     read as JSON gives what comes before the fault."""
     schema = "mandala int, sukta int, text string"
     raw = spark.read.schema(schema + f", {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    rows = raw.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("__path__"), F.monotonically_increasing_id().alias("__id__"))
+    rows = _placed(raw.select("*", "_metadata", F.col("_metadata.file_name").alias("source_file")))
     rows = rows.filter("mandala is not null and sukta is not null")
     listed = F.from_json("text", "array<string>")
     text = F.when(F.col("text").startswith("["), F.coalesce(F.array_join(listed, "\n"), F.col("text"))).otherwise(F.col("text"))
-    order = Window.partitionBy("__path__").orderBy("__id__")
+    order = Window.partitionBy(_FILE).orderBy(_BLOCK, _PLACE)
     return rows.select("mandala", "sukta", text.alias("text"), "source_file", (F.row_number().over(order) - 1).alias("pos"))
 
 
@@ -144,10 +175,22 @@ def first_existing(spark: SparkSession, *paths: str) -> str:
 
 
 class Cached:
-    """A frame kept until it is dropped by hand."""
-
-    def __init__(self, df: DataFrame):
-        self.df = df.cache()
+    """A frame kept until it is dropped by hand, or older than ``seconds``."""
+
+    def __init__(self, df: DataFrame, seconds: float = 3_600.0, clock=time.monotonic):
+        self._df, self._seconds, self._clock = df, seconds, clock
+        self._since = None
+
+    @property
+    def df(self) -> DataFrame:
+        """The kept frame, read anew once its time is up."""
+        if self._since is not None and self._clock() - self._since > self._seconds:
+            self.invalidate()
+        if self._since is None:
+            self._df.persist()
+            self._since = self._clock()
+        return self._df
 
     def invalidate(self) -> None:
-        self.df.unpersist()
+        self._df.unpersist()
+        self._since = None

@@ -38,10 +38,37 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def text_file(df: DataFrame, path: str, column: str, order=()) -> None:
-    """The column's texts one after another, in order."""
-    rows = df.orderBy(*order) if order else df
-    rows.select(F.col(column).alias("value")).coalesce(1).write.text(path)
+def one_record(record: DataFrame, path: str) -> None:
+    """A single record for download: <path>/json and <path>/csv, lists as JSON in the latter."""
+    json_lines(record.coalesce(1), f"{path}/json")
+    csv(flat_lists(record), f"{path}/csv", one_file=True)
+
+
+def flat_lists(df: DataFrame) -> DataFrame:
+    """Lists as JSON text, which a CSV can hold."""
+    kinds = dict(df.dtypes)
+    return df.select(*[(F.to_json(c) if kinds[c].startswith("array") else F.col(c)).alias(c) for c in df.columns])
+
+
+def text_file(df: DataFrame, path: str, column: str, order=(), one_file: bool = True, fallback: str | None = None) -> str:
+    """The column's texts one after another, in order, in one part, or (for large corpora) in
+    parts that follow each other by name.  Returns the folder: where ``path`` can't be
+    written, ``fallback``."""
+    rows = (df.orderBy(*order) if order else df).select(F.col(column).alias("value"))
+    rows = rows.coalesce(1) if one_file else rows
+    try:
+        rows.write.text(path)
+    except Exception as refused:
+        if fallback is None or _rows_failed(refused):
+            raise
+        rows.write.text(fallback)
+        return fallback
+    return path
+
+
+def _rows_failed(error: Exception) -> bool:
+    """Whether the rows could not be made, so no other folder would help."""
+    return "Task failed" in str(error) or "Job aborted" in str(error)
 
 
 def next_backup(spark: SparkSession, path: str) -> str:
