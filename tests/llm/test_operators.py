@@ -562,6 +562,33 @@ def test_suppression():
     assert licenses.suppress([d("low", 0, 9, 10, 1.0), d("high", 2, 3, 90, 1.0)]) == [d("high", 2, 3, 90, 1.0), d("low", 0, 9, 10, 1.0)]
 
 
+def license_brute(text):
+    """(labels, score) with every rule tried on every text and every pair of detections compared."""
+    words = license_words(text)
+    line = " ".join(words).encode()
+    found = []
+    for rule in licenses.rules():
+        for m in rule.pattern.finditer(line):
+            first = line[: m.start()].count(b" ")
+            found.append((rule.label, first, first + m.group().count(b" "), rule.priority, rule.confidence))
+    before = lambda e, d: (-e[3], e[1] - e[2], e[1], e[0]) < (-d[3], d[1] - d[2], d[1], d[0])
+    stay = [d for d in found if not any(before(e, d) and e[1] <= d[1] and d[2] <= e[2] for e in found)]
+    base = license_base(text)[4]
+    labels = {d[0] for d in stay} | set(filter(None, base.split(",")))
+    return ",".join(sorted(labels)), max([d[4] for d in stay] + [0.7] * bool(base), default=0.0)
+
+
+def test_license_labels_by_brute_force(docs):
+    rng = random.Random(1)
+    of_rules = [license_samples(re._parser.parse(rule.pattern.pattern)) for rule in licenses.rules()]
+    samples = [s.decode() for every in of_rules for s in rng.sample(every, min(2, len(every)))]
+    texts = [r[1] for r in docs[0]][:60] + ODD[:10] + ODD[-8:]
+    texts += ["; ".join(rng.choices([*samples, "some other words", "version 2 only"], k=8)) for _ in range(80)]
+    for t in texts:
+        got = licenses.scan(t)
+        assert (got[5], got[6]) == license_brute(t)
+
+
 def test_licenses_of_an_empty_table(empty):
     assert licenses.op4(empty).collect() == []
 
