@@ -298,8 +298,8 @@ def test_links_of_planted_fingerprints(spark, dense, equal):
         assert classes(got) == classes({signed(a): signed(b) for a, b in want.items()})
 
 
-#: 100,000 pass as well, in some minutes.
-HOT_POINTS = 30_000
+#: 100,000 pass as well, in three minutes on eight cores.
+HOT_POINTS = 16_000
 
 
 def test_links_of_a_hot_cell(spark):
