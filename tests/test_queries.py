@@ -38,3 +38,27 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
+def agree(spark, folder, name, **tables):
+    """A query's rows on small tables written to a folder, the same as its SQL's."""
+    con = duckdb.connect()
+    for table, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    df = entry_points.queries()[name](spark, str(folder))
+    want = con.sql(entry_points.oracle_sql()[name])
+    got = sorted((tuple(r) for r in df.select(*want.columns).collect()), key=repr)
+    assert got == sorted(want.fetchall(), key=repr)
+    return got
+
+
+ODD_HTML = [
+    "<title>a&amp</title>b", "&lt&copy b", "&amp;lt; &amp;amp; &#39; &eacute; &nbsp;x", "&&amp;&quot;&am", "&lt;b&gt;c", " &middot;&copy; ", "",
+    "- • x—y", "Next: z", "no\x85 entity\u3000at all", "e&amp;\u0301 e\u0301", None,
+]
+
+
+@pytest.mark.parametrize("name", ["clean_html"])
+def test_odd_entities_as_in_sql(spark, tmp_path, name):
+    agree(spark, tmp_path, name, pages=("page_id long, html string", list(enumerate(ODD_HTML))))

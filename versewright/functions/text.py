@@ -61,7 +61,13 @@ def nfc(c: Column) -> Column:
     return _nfc(c)
 
 
-def unescape(c: Column) -> Column:
+def unescape(c: Column, entities: dict[str, str] | None = None) -> Column:
+    """HTML entities resolved as browsers do, also numbers and old names without a semicolon;
+    or only the given names, in that order, where a semicolon closes them."""
+    if entities is not None:
+        for name, character in entities.items():
+            c = F.replace(c, F.lit(f"&{name};"), F.lit(character))
+        return c
     ship(SparkSession.active())
     return _unescape(c)
 
@@ -91,9 +97,9 @@ def normalize_line(c: Column) -> Column:
     return collapse(nfc(strip_tags(unescape(F.coalesce(c, F.lit(""))))))
 
 
-def clean_text(c: Column) -> Column:
+def clean_text(c: Column, entities: dict[str, str] | None = None) -> Column:
     """normalize_line for translations: plain dashes, no leading bullets, navigation blanked."""
-    one = collapse(F.translate(strip_tags(unescape(F.coalesce(c, F.lit("")))), "‒–—―", "----"))
+    one = collapse(F.translate(strip_tags(unescape(F.coalesce(c, F.lit("")), entities)), "‒–—―", "----"))
     bare = F.regexp_replace(one, f"^{SPACE}*[-•*]+{SPACE}*", "")
     return strip(F.regexp_replace(bare, r"^(?i:Next:|Previous:).*$", ""))
 

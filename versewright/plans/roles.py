@@ -76,7 +76,11 @@ def words_sql(words) -> str:
     return f"(?i){LEFT}(?:{'|'.join(words)}){RIGHT}"
 
 
+# The entities that the SQL resolves, "amp" last so that what it gives isn't read again.
+ENTITIES = {"quot": '"', "lt": "<", "gt": ">", "copy": "©", "middot": "·", "nbsp": "\xa0", "amp": "&"}
+
+
 def unescape_sql(x: str) -> str:
-    for name, character in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("copy", "©"), ("middot", "·"), ("nbsp", "\xa0"), ("amp", "&")):
+    for name, character in ENTITIES.items():
         x = f"replace({x}, '&{name};', '{character}')"
     return x
