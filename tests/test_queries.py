@@ -59,6 +59,6 @@ ODD_HTML = [
 ]
 
 
-@pytest.mark.parametrize("name", ["clean_html"])
+@pytest.mark.parametrize("name", ["clean_html", "normalize_line"])
 def test_odd_entities_as_in_sql(spark, tmp_path, name):
     agree(spark, tmp_path, name, pages=("page_id long, html string", list(enumerate(ODD_HTML))))

@@ -92,9 +92,9 @@ def strip_tags(c: Column, by: str = " ") -> Column:
     return F.regexp_replace(c, "<[^>]+>", by)
 
 
-def normalize_line(c: Column) -> Column:
+def normalize_line(c: Column, entities: dict[str, str] | None = None) -> Column:
     """Entities, tags and runs of white space resolved to one line in NFC; null as ''."""
-    return collapse(nfc(strip_tags(unescape(F.coalesce(c, F.lit(""))))))
+    return collapse(nfc(strip_tags(unescape(F.coalesce(c, F.lit("")), entities))))
 
 
 def clean_text(c: Column, entities: dict[str, str] | None = None) -> Column:
