@@ -62,3 +62,13 @@ ODD_HTML = [
 @pytest.mark.parametrize("name", ["clean_html", "normalize_line"])
 def test_odd_entities_as_in_sql(spark, tmp_path, name):
     agree(spark, tmp_path, name, pages=("page_id long, html string", list(enumerate(ODD_HTML))))
+
+
+ODD_BODIES = [
+    "a. . b. c", "a\n\nb\n \nc", ". ", "", None, "a ॥1॥ b ॥2॥ c. d", "a\r\nb\r. c", "a\t\nb  \nc  ", "a. \n\n. b", ". ".join("abcdefghijklm"),
+    "\u3000a\xa0\nb\x85. \u2028c", "॥इति क मण्डलं समाप्तम्॥ a. b", "e\u0301. e  \r\n. x  \n", "  \n  . \n  ",
+]
+
+
+def test_odd_stanzas_as_in_sql(spark, tmp_path):
+    agree(spark, tmp_path, "stanza_fallback", documents=("doc_id long, text string", list(enumerate(ODD_BODIES))))

@@ -100,8 +100,9 @@ def stanzas(body: Column, metre: Column | None = None, pada_separator: str = DAN
 _STANZAS = "array<struct<num: int, sanskrit: string, padas: array<string>>>"
 
 
-def blank_line_stanzas(body: Column, pada_separator: str = DANDA, most: int = 10) -> Column:
-    pieces = F.transform(F.slice(F.split(body, rf"\n{SPACE}*\n"), 1, most), tidy)  # each piece once
+def blank_line_stanzas(body: Column, pada_separator: str = DANDA, most: int = 10, blank: str = rf"\n{SPACE}*\n", tidied=tidy) -> Column:
+    """The first pieces between blank lines, tidied and numbered from 1; null for null."""
+    pieces = F.transform(F.slice(F.split(body, blank), 1, most), tidied)  # each piece once
     return F.transform(pieces, lambda t, i: F.struct((i + 1).cast("int").alias("num"), t.alias("sanskrit"), padas(t, None, pada_separator).alias("padas")))
 
 
