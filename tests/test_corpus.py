@@ -414,3 +414,9 @@ def test_streaming_clean(spark, tmp_path):
 def test_nfc_udf_is_pythons(spark):
     raw = ["é", "Å", None, "plain"]
     assert values(spark, text.nfc, raw) == [unicodedata.normalize("NFC", x) if x else x for x in raw]
+
+
+def test_nfc_of_every_decomposed_letter(spark):
+    letters = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x30000)]) if unicodedata.decomposition(c) or unicodedata.combining(c) or 0xAC00 <= ord(c) < 0xB000]
+    raw = [" ".join(f(c) + tail for c in letters) for f in (str, lambda c: unicodedata.normalize("NFD", c)) for tail in ("", "\u0323\u0307", "\u0307\u0323\u0301")]
+    assert values(spark, text.nfc, raw) == [unicodedata.normalize("NFC", x) for x in raw]

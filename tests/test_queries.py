@@ -72,3 +72,12 @@ ODD_BODIES = [
 
 def test_odd_stanzas_as_in_sql(spark, tmp_path):
     agree(spark, tmp_path, "stanza_fallback", documents=("doc_id long, text string", list(enumerate(ODD_BODIES))))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["normalize_text", "normalize_line"])
+def test_texts_stay_in_the_jvm(spark, small, name):
+    assert "Python" not in _plan(corpus.queries()[name](spark, small))
