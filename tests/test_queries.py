@@ -78,6 +78,6 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["normalize_text", "normalize_line"])
+@pytest.mark.parametrize("name", ["normalize_text", "normalize_line", "normalize_nfc"])
 def test_texts_stay_in_the_jvm(spark, small, name):
     assert "Python" not in _plan(corpus.queries()[name](spark, small))
