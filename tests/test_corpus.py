@@ -1,5 +1,6 @@
 """Operators on small literal inputs, quirks, round trips and random inputs."""
 
+import html
 import json
 import random
 import re
@@ -420,3 +421,15 @@ def test_nfc_of_every_decomposed_letter(spark):
     letters = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x30000)]) if unicodedata.decomposition(c) or unicodedata.combining(c) or 0xAC00 <= ord(c) < 0xB000]
     raw = [" ".join(f(c) + tail for c in letters) for f in (str, lambda c: unicodedata.normalize("NFD", c)) for tail in ("", "\u0323\u0307", "\u0307\u0323\u0301")]
     assert values(spark, text.nfc, raw) == [unicodedata.normalize("NFC", x) for x in raw]
+
+
+def test_unescape_is_pythons(spark):
+    raw = [None, "", "&", "&&&", "a&amp", "&ampx &notit; &notin; &NotEqualTilde;", "&#39;&#x41&#0;&#x80;&#xD800;&#99999999;&#1;", "x&y=1&copy=2&lt;b&gt", "&#10;&NewLine;&amp;amp;", "&abcdefghijklmnopqrstuvwxyzabcdefghijkl;", "&\U0001f600; &é;", "a&\x01b"]
+    rng = random.Random(5)
+    raw += ["".join(rng.choice(["&", "amp", ";", "#", "x", "41", "lt", "no", "t", " ", "<", "é", "\n", "&copy", "\\", "$1"]) for _ in range(30)) for _ in range(300)]
+    assert values(spark, text.unescape, raw) == [x if x is None else html.unescape(x) for x in raw]
+
+
+def test_unescape_hands_python_references_alone(spark):
+    plan = spark.range(1).select(F.lit("x").alias("t")).select(text.unescape(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "_unescape(CASE WHEN" in plan and "regexp_extract_all" in plan.split("_unescape(", 1)[1]

@@ -59,9 +59,9 @@ ODD_HTML = [
 ]
 
 
-@pytest.mark.parametrize("name", ["clean_html", "normalize_line"])
+@pytest.mark.parametrize("name", ["clean_html", "normalize_line", "clean_text"])
 def test_odd_entities_as_in_sql(spark, tmp_path, name):
-    agree(spark, tmp_path, name, pages=("page_id long, html string", list(enumerate(ODD_HTML))))
+    agree(spark, tmp_path, name, pages=("page_id long, html string", list(enumerate(ODD_HTML))), documents=("doc_id long, text string", list(enumerate(ODD_HTML))))
 
 
 ODD_BODIES = [
@@ -78,6 +78,6 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["normalize_text", "normalize_line", "normalize_nfc"])
+@pytest.mark.parametrize("name", ["normalize_text", "normalize_line", "normalize_nfc", "clean_text"])
 def test_texts_stay_in_the_jvm(spark, small, name):
     assert "Python" not in _plan(corpus.queries()[name](spark, small))

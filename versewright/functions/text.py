@@ -55,9 +55,13 @@ def nfc(c: Column) -> Column:
     return F.when(c.isNotNull(), _composed(F.coalesce(c, F.lit(""))))
 
 
-@F.pandas_udf(T.StringType())
+# What html.unescape looks up; each match stands for itself.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or "&" not in x else html.unescape(x))
+    return s.map(lambda found: None if found is None else [html.unescape(x) for x in found])
 
 
 def unescape(c: Column, entities: dict[str, str] | None = None) -> Column:
@@ -68,7 +72,11 @@ def unescape(c: Column, entities: dict[str, str] | None = None) -> Column:
             c = F.replace(c, F.lit(f"&{name};"), F.lit(character))
         return c
     ship(SparkSession.active())
-    return _unescape(c)
+    # only the references go to Python, not the texts around them
+    some = c.contains("&")
+    characters = _unescape(F.when(some, F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))))
+    whole = F.zip_with(F.split(c, REFERENCE), characters, lambda t, x: F.concat(t, F.coalesce(x, F.lit(""))))
+    return F.when(some, F.array_join(whole, "")).otherwise(c)
 
 
 # -- normalization -------------------------------------------------------------------
