@@ -433,3 +433,12 @@ def test_unescape_is_pythons(spark):
 def test_unescape_hands_python_references_alone(spark):
     plan = spark.range(1).select(F.lit("x").alias("t")).select(text.unescape(F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert "_unescape(CASE WHEN" in plan and "regexp_extract_all" in plan.split("_unescape(", 1)[1]
+
+
+def test_json_arrays_grow_in_number_not_in_size(spark, tmp_path):
+    for n in (0, 1_000, 4_000):
+        rows = spark.range(n).select("id", F.repeat(F.lit("x"), 90).alias("text"))
+        sinks.json_arrays(rows, str(tmp_path / str(n)), F.to_json(F.struct("id", "text")), least=2, size=10_000)
+        files = [p.read_text() for p in (tmp_path / str(n)).glob("part-*")]
+        assert sorted(r["id"] for f in files if f for r in json.loads(f)) == list(range(n))
+        assert not n or n * 100 / 10_000 <= len(files) and max(map(len, files)) < 20_000

@@ -3,7 +3,9 @@ part, everything else keeps its partitions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from math import ceil
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import KEY
@@ -14,6 +16,18 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
+def json_arrays(df: DataFrame, path: str, record: Column, least: int = 16, size: int = 16 << 20) -> None:
+    """Files of one JSON array each, of the records (JSON text) in no order.  A file is
+    written and read by one task, so there are more of them as the table grows: each takes
+    about ``size`` bytes, and small tables are dealt into ``least``."""
+    rows = df.select(record.alias("value"))
+    total = rows.agg(F.sum(F.octet_length("value").cast("bigint") + 1)).first()[0] or 0
+    files = max(least, ceil(total / size))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(files)).cast("int")).repartitionById(files, "part")  # a task for each file
+    arrays = dealt.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def csv(df: DataFrame, path: str, order=(), one_file: bool = False) -> None:
     rows = df.orderBy(*order) if order else df
     rows = rows.coalesce(1) if one_file else rows
