@@ -442,3 +442,17 @@ def test_json_arrays_grow_in_number_not_in_size(spark, tmp_path):
         files = [p.read_text() for p in (tmp_path / str(n)).glob("part-*")]
         assert sorted(r["id"] for f in files if f for r in json.loads(f)) == list(range(n))
         assert not n or n * 100 / 10_000 <= len(files) and max(map(len, files)) < 20_000
+
+
+def test_array_is_told_by_one_character(spark, tmp_path):
+    (tmp_path / "a.json").write_text(" \n\t\n\t [" + "1," * 100_000 + "1]")
+    (tmp_path / "b.json").write_text('\n {"a": [1]}\n')
+    (tmp_path / "c.json").write_text("\n")
+    assert [readers.is_json_array(spark, str(tmp_path / f"{n}.json")) for n in "abc"] == [True, False, False]
+
+
+def test_hymns_of_one_group_are_dealt_out(spark, tmp_path):
+    rows = spark.range(2_000).select((F.col("id") * 16).alias("hymn"), F.repeat(F.lit("x"), 90).alias("text"))
+    sinks.json_arrays(rows, str(tmp_path / "j"), F.to_json(F.struct("hymn", "text")), size=20_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "j").glob("part-*")]
+    assert len(sizes) == 16 and max(sizes) < 2 * min(sizes)

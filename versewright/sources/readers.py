@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import first_text, first_usable, int_or_zero
+from ..functions.text import strip
 from ..schema import VERSE
 
 # Names under which files have the columns, the usual one first.
@@ -99,8 +100,9 @@ def translations_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def is_json_array(spark: SparkSession, path: str) -> bool:
     """Whether the first line that isn't blank opens an array."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0][0].lstrip().startswith("[")
+    line = strip(F.col("value"))
+    first = spark.read.text(path).filter(line != "").select(F.substring(line, 1, 1)).limit(1).collect()  # a line may be the whole file
+    return bool(first) and first[0][0] == "["
 
 
 def translations_json(spark: SparkSession, path: str) -> DataFrame:
